@@ -13,13 +13,19 @@ import warnings
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codegauge import fixed_values as V
 from codegauge.operators.joins import skew_join
 
-ANALYSIS_TYPE = (
-    "struct<parse_ok: boolean, nodes: array<struct<kind: string, modules: array<string>>>>"
-)
+_NODE = T.StructType([
+    T.StructField("kind", T.StringType()),
+    T.StructField("modules", T.ArrayType(T.StringType())),
+])
+ANALYSIS = T.StructType([
+    T.StructField("parse_ok", T.BooleanType()),
+    T.StructField("nodes", T.ArrayType(_NODE)),
+])
 _ARROW_TYPE = pa.struct([
     ("parse_ok", pa.bool_()),
     ("nodes", pa.list_(pa.struct([("kind", pa.string()), ("modules", pa.list_(pa.string()))]))),
@@ -56,7 +62,7 @@ def describe_script(code: str | None) -> dict | None:
     return {"parse_ok": True, "nodes": nodes}
 
 
-@F.arrow_udf(ANALYSIS_TYPE)
+@F.arrow_udf(ANALYSIS)
 def analyse_code(code: pa.Array) -> pa.Array:
     return pa.array([describe_script(c) for c in code.to_pylist()], _ARROW_TYPE)
 

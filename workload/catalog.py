@@ -1,8 +1,8 @@
 """All registered queries and their checking SQL."""
 
-from workload import extraction, outcomes
+from workload import evaluation, extraction, outcomes
 
-MODULES = [extraction, outcomes]
+MODULES = [extraction, outcomes, evaluation]
 
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
