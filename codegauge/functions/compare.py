@@ -17,9 +17,10 @@ DEFAULT_ABS_TOL = 1e-6
 DEFAULT_REL_TOL = 1e-7
 
 # Number texts that Python's ``float`` accepts, in ASCII digits.
+_DIGITS = r"\d++(?:_\d++)*+"
 FLOAT_TEXT = (
-    r"(?i)^[+-]?(inf|infinity|nan|"
-    r"(\d+(_\d+)*\.?|(\d+(_\d+)*)?\.\d+(_\d+)*|\d+(_\d+)*\.)(e[+-]?\d+(_\d+)*)?)$"
+    r"(?i)^[+-]?(?:inf|infinity|nan|"
+    rf"(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?)$"
 )
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -49,17 +50,14 @@ def _double(value: Column, data_type: T.DataType) -> Column:
 def text_to_double(text: Column) -> Column:
     """Python's ``float(text)``; null where it would raise."""
     trimmed = strip(text)
-    number = F.replace(F.lower(trimmed), F.lit("_"), F.lit(""))
-    value = F.when(number.endswith("nan"), F.lit(float("nan"))).otherwise(
-        number.try_cast("double")
-    )
-    return F.when(trimmed.rlike(FLOAT_TEXT), value)
+    value = F.replace(trimmed, F.lit("_"), F.lit("")).try_cast("double")
+    # of the accepted texts only a signed NaN is no number to Spark
+    return F.when(trimmed.rlike(FLOAT_TEXT), F.coalesce(value, F.lit(float("nan"))))
 
 
 def _has_fraction(value: Column) -> Column:
     """Not an integer: infinities and NaN count as fractional."""
-    odd = F.isnan(value) | value.isin(float("inf"), float("-inf"))
-    return odd | (value != F.rint(value))
+    return value % 1 != 0
 
 
 def is_float(value: Column, data_type: T.DataType = T.StringType(), require_all: bool = True) -> Column:

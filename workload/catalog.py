@@ -1,8 +1,8 @@
 """All registered queries and their checking SQL."""
 
-from workload import evaluation, extraction, outcomes
+from workload import comparison, evaluation, extraction, outcomes, preparation
 
-MODULES = [extraction, outcomes, evaluation]
+MODULES = [extraction, outcomes, evaluation, preparation, comparison]
 
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
