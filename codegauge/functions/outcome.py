@@ -8,25 +8,36 @@ from pyspark.sql import functions as F
 from codegauge.functions.text import last_line, let
 
 
-def last_json(stdout: Column) -> Column:
-    """Last printed line as a variant; null if empty or not one JSON value.
+# What prepared tests print: a list of JSON booleans, or one of two objects.
+BOOLEAN_LIST = (
+    r"^\[[ \t\r]*+(?:true|false)[ \t\r]*+(?:,[ \t\r]*+(?:true|false)[ \t\r]*+)*+\]$"
+)
+PASSED_OBJECT = '{"passed": true}'
+FAILED_OBJECT = '{"passed": false}'
+JSON_START = r"^[ \t\r]*+[\[{\"\-0-9tfn]"
+
+
+def _as_list(value: Column) -> Column:
+    return value.try_cast("array<variant>")
+
+
+def _only_value(line: Column) -> Column:
+    """A line as a variant; null if it is not exactly one JSON value.
 
     ``try_parse_json`` ignores text after the first value, so the line is parsed
     as the only element of a list.  Left-over text that closes that list early
     must start with ``]``; such a line cannot also close an object.
     """
-
-    def only_value(line: Column) -> Column:
-        wrapped = _as_list(F.try_parse_json(F.concat(F.lit("["), line, F.lit("]"))))
-        as_field = F.try_parse_json(F.concat(F.lit('{"v":'), line, F.lit("}")))
-        whole = ~line.contains("]") | as_field.isNotNull()
-        return F.when((F.size(wrapped) == 1) & whole, F.try_element_at(wrapped, F.lit(1)))
-
-    return let(last_line(stdout), only_value)
+    wrapped = _as_list(F.try_parse_json(F.concat(F.lit("["), line, F.lit("]"))))
+    as_field = F.try_parse_json(F.concat(F.lit('{"v":'), line, F.lit("}")))
+    whole = ~line.contains("]") | as_field.isNotNull()
+    only = let(wrapped, lambda w: F.when(F.size(w) == 1, F.try_element_at(w, F.lit(1))))
+    return F.when(line.rlike(JSON_START) & whole, only)
 
 
-def _as_list(value: Column) -> Column:
-    return value.try_cast("array<variant>")
+def last_json(stdout: Column) -> Column:
+    """Last printed line as a variant; null if empty or not one JSON value."""
+    return let(last_line(stdout), _only_value)
 
 
 def truthy(value: Column) -> Column:
@@ -51,26 +62,34 @@ def parse_outcome(stdout: Column) -> Column:
     set for objects only: the truth of the key ``passed``, false if absent.
     """
 
-    def describe(value: Column) -> Column:
+    def outcome(kind: Column | str, results: Column | None = None, passed: Column | bool | None = None):
+        return F.struct(
+            (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"),
+            (F.lit(None) if results is None else results).cast("array<boolean>").alias("results"),
+            (passed if isinstance(passed, Column) else F.lit(passed)).cast("boolean").alias("passed"),
+        )
+
+    def any_json(value: Column) -> Column:
         items = _as_list(value)
         is_object = F.schema_of_variant(value).startswith("OBJECT")
-        return F.struct(
-            F.when(value.isNull(), "invalid")
-            .when(items.isNotNull(), "list")
-            .when(is_object, "object")
-            .otherwise("other")
-            .alias("kind"),
-            F.transform(items, truthy).alias("results"),
-            F.when(
-                is_object,
-                F.coalesce(
-                    truthy(F.try_variant_get(value, "$.passed", "variant")),
-                    F.lit(False),
-                ),
-            ).alias("passed"),
+        found = truthy(F.try_variant_get(value, "$.passed", "variant"))
+        return (
+            F.when(value.isNull(), outcome("invalid"))
+            .when(items.isNotNull(), outcome("list", F.transform(items, truthy)))
+            .when(is_object, outcome("object", passed=F.coalesce(found, F.lit(False))))
+            .otherwise(outcome("other"))
+        )
+
+    def last(line: Column) -> Column:
+        words = F.split(F.translate(line, "[] \t\r", ""), ",")
+        return (
+            F.when(line.rlike(BOOLEAN_LIST), outcome("list", F.transform(words, lambda w: w == "true")))
+            .when(line == PASSED_OBJECT, outcome("object", passed=True))
+            .when(line == FAILED_OBJECT, outcome("object", passed=False))
+            .otherwise(let(_only_value(line), any_json))
         )
 
-    return let(last_json(stdout), describe)
+    return let(last_line(stdout), last)
 
 
 def count_true(results: Column) -> Column:
