@@ -14,7 +14,7 @@ def read_module_map(spark: SparkSession, path: str) -> DataFrame:
     """``module, package`` from a JSON object's ``mapping`` key; empty on any error."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], "module string, package string")
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     parsed = F.from_json("value", "mapping map<string,string>")
     return whole.select(F.explode(parsed["mapping"]).alias("module", "package"))
 

@@ -28,12 +28,11 @@ def read_stream(spark: SparkSession, folder: str, schema, fmt: str = "json", pat
 
 def score_stream(executions: DataFrame, empty_is_pass: bool = True) -> DataFrame:
     """Verdict and pass rate per execution; stateless."""
-    parsed = executions.withColumn("outcome", O.parse_outcome(F.col("stdout")))
-    return parsed.select(
-        *executions.columns,
-        O.task_passed(F.col("outcome"), empty_is_pass).alias("passed"),
-        O.task_pass_rate(F.col("outcome")).alias("pass_rate"),
-    )
+    outcome = O.parse_outcome(F.col("stdout"))
+    return executions.withColumn("__outcome", outcome).withColumns({
+        "passed": O.task_passed(F.col("__outcome"), empty_is_pass),
+        "pass_rate": O.task_pass_rate(F.col("__outcome")),
+    }).drop("__outcome")
 
 
 def first_per_task(results: DataFrame, event_time: str, delay: str) -> DataFrame:
