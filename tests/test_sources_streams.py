@@ -109,14 +109,14 @@ def test_streamed_duplicates(spark, tmp_path):
 
 
 def test_streamed_windows_equal_batch_and_drop_late_rows(spark, tmp_path):
-    folder = write_batches(tmp_path, [row("1", 1), row("2", 1, False)], [row("3", 5)], [row("4", 1), row("5", 12)])
+    folder = write_batches(tmp_path, [row("1", 1), row("2", 1, False)], [row("3", 5)], [row("6", 6)], [row("4", 1), row("5", 12)])
     results = scoring.read_stream(spark, folder, SCHEMA, files_per_trigger=1)
     out = str(tmp_path / "out")
     stream = scoring.windowed_metrics(results, "ts", "2 hours", "1 hour")
     scoring.append_to(stream, out, str(tmp_path / "state"), "windows").awaitTermination()
     rows = {r.window_start.hour: (r.n_results, r.pass_rate) for r in spark.read.parquet(out).collect()}
     # the row of task 4 came after its window was closed
-    assert rows == {0: (2, 0.5), 4: (1, 1.0)}
+    assert rows == {0: (2, 0.5), 4: (1, 1.0), 6: (1, 1.0)}
 
 
 def test_streamed_json_lines(spark, tmp_path):
