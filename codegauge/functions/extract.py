@@ -13,23 +13,32 @@ from pyspark.sql import functions as F
 
 from codegauge.functions.text import let, lstrip, strip
 
-PYTHON_FENCE = r"(?s)```python(.*?)```"
-ANY_FENCE = r"(?s)```(.*?)```"
-OPEN_FENCE = r"(?s)```[\p{L}\p{N}_]*(.*)"
+FENCE = "```"
+PYTHON_TAG = "```python"
+PYTHON_BLOCK = r"(?s)```python(.*?)```"
+ANY_BLOCK = r"(?s)```(.*?)```"
+OPEN_BLOCK = r"(?s)```[\p{L}\p{N}_]*(.*)"
+
+
+def _closed_after(completion: Column, opening: str) -> Column:
+    """Does a fence follow the first ``opening``?  Plain substring search."""
+    start = F.instr(completion, opening)
+    rest = F.substr(completion, start + len(opening))
+    return F.coalesce((start > 0) & rest.contains(FENCE), F.lit(False))
 
 
 def has_python_fence(completion: Column) -> Column:
     """True if the completion follows the asked format."""
-    return F.coalesce(completion.rlike(PYTHON_FENCE), F.lit(False))
+    return _closed_after(completion, PYTHON_TAG)
 
 
 def _blocks(completion: Column) -> Column:
-    pattern = (
-        F.when(completion.rlike(PYTHON_FENCE), F.lit(PYTHON_FENCE))
-        .when(completion.rlike(ANY_FENCE), F.lit(ANY_FENCE))
-        .otherwise(F.lit(OPEN_FENCE))
+    found = lambda pattern: F.regexp_extract_all(completion, F.lit(pattern), F.lit(1))
+    return (
+        F.when(has_python_fence(completion), found(PYTHON_BLOCK))
+        .when(_closed_after(completion, FENCE), found(ANY_BLOCK))
+        .otherwise(found(OPEN_BLOCK))
     )
-    return F.regexp_extract_all(completion, pattern, F.lit(1))
 
 
 def _defines_something(block: Column) -> Column:
@@ -53,7 +62,7 @@ def extract_code(completion: Column, strategy: str = "last") -> Column:
             ),
         )
     elif strategy == "all":
-        closed = completion.rlike(ANY_FENCE)
+        closed = _closed_after(completion, FENCE)
         code = F.coalesce(
             F.array_join(
                 F.transform(

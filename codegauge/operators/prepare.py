@@ -132,9 +132,10 @@ def sample_rows(
 
     Rows are taken in the order of a seeded hash of ``key``, which must be
     unique.  -1 takes all rows.  The hash space is cut into ``16**digits``
-    buckets; whole buckets are taken without sorting, and only the rows of the
-    one bucket at the edge are ranked.  So there is no global sort or limit, and
-    the largest sorted group has about ``rows / 16**digits`` rows.
+    buckets and counted; only the buckets up to the one that holds the last
+    wanted row are kept, and rows are ranked within their bucket.  So there is no
+    global sort or limit, only about ``num_samples`` rows are shuffled, and a
+    ranked group has about ``rows / 16**digits`` rows.
     """
     if num_samples < 0:
         return df
@@ -156,15 +157,18 @@ def sample_rows(
             "bucket",
         ).alias("edge")
     )
-    marked = df.withColumn("__place", place).withColumn("__edge", edge.scalar())
-    bucket = F.substring("__place", 1, digits)
+    marked = df.withColumns({
+        "__place": place,
+        "__bucket": F.substring(place, 1, digits),
+        "__edge": edge.scalar(),
+    })
     # no edge: fewer rows than asked for, all are taken
-    inside = marked.where(F.col("__edge").isNull() | (bucket < F.col("__edge.bucket")))
-    at_edge = marked.where(bucket == F.col("__edge.bucket"))
-    order = Window.partitionBy(bucket).orderBy("__place", key)
-    ranked = (
-        at_edge.withColumn("__rank", F.row_number().over(order))
-        .where(F.col("__rank") <= F.col("__edge.wanted"))
-        .drop("__rank")
+    all_rows = F.col("__edge").isNull()
+    inside = F.col("__bucket") < F.col("__edge.bucket")
+    order = Window.partitionBy("__bucket").orderBy("__place", key)
+    return (
+        marked.where(all_rows | (F.col("__bucket") <= F.col("__edge.bucket")))
+        .withColumn("__rank", F.row_number().over(order))
+        .where(all_rows | inside | (F.col("__rank") <= F.col("__edge.wanted")))
+        .drop("__place", "__bucket", "__edge", "__rank")
     )
-    return inside.unionByName(ranked).drop("__place", "__edge")

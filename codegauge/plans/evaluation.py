@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codegauge.functions import execution as X
 from codegauge.operators import checkpoints, metrics, scoring
+from codegauge.storage import stage
 
 # rows with a ``script`` column, key -> one execution per scripted row
 Execute = Callable[[DataFrame, str], DataFrame]
@@ -36,7 +37,10 @@ def reward_completions(
     binary: bool = False,
 ) -> DataFrame:
     """Completions to rewards: extract, append tests, run, score."""
-    scripts = scoring.build_scripts(completions, tasks, row_key, tests, mode="append")
+    # read several times below: kept as a table instead of built again
+    scripts = stage(
+        scoring.build_scripts(completions, tasks, row_key, tests, mode="append"), "scripts"
+    )
     executions = with_success(execute(scripts.where(F.col("script").isNotNull()), row_key))
     return scoring.score_rewards(scripts, executions, row_key, binary)
 
@@ -58,10 +62,11 @@ def evaluate_dataset(
     mine = results_so_far.where(
         (F.col("dataset_name") == dataset_name) & (F.col("model_id") == model_id)
     )
-    todo = checkpoints.pending(tasks, mine, ["task_id"])
+    todo = stage(checkpoints.pending(tasks, mine, ["task_id"]), "pending")
     generations = generate(todo)
     scripts = scoring.build_scripts(generations, todo, "task_id", "test", mode="marker")
-    scripts = scripts.join(todo.select("task_id", "prompt"), "task_id")
+    # generations cost the most and are read several times: kept as a table
+    scripts = stage(scripts.join(todo.select("task_id", "prompt"), "task_id"), "scripts")
     executions = with_success(execute(scripts.where(F.col("script").isNotNull()), "task_id"))
     return scoring.score_tasks(
         scripts, executions, "task_id", dataset_name, model_name, model_id

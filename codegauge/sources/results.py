@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codegauge.schemas import TASK_RESULT
-from codegauge.storage import path_exists
+from codegauge.storage import list_paths, path_exists
 
 RUN_COLUMNS = ["model_id", "run_ts"]
 STORED_RESULT = T.StructType([*TASK_RESULT.fields, T.StructField("run_ts", T.StringType())])
@@ -25,8 +25,16 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STORED_RESULT).json(path)
 
 
+def newest_run(spark: SparkSession, path: str, model_id: str) -> str | None:
+    """Run stamp of a model's newest run, from the folder names alone."""
+    names = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    model_folder = f"{path}/model_id={names.escapePathName(model_id)}"
+    runs = [folder.split("run_ts=", 1)[1] for folder in list_paths(spark, f"{model_folder}/run_ts=*")]
+    return max((names.unescapePathName(run) for run in runs), default=None)
+
+
 def read_latest_run(spark: SparkSession, path: str, model_id: str) -> DataFrame:
     """Rows of one model's newest run; only that run's folder is scanned."""
-    rows = read_results(spark, path).where(F.col("model_id") == model_id)
-    newest = rows.agg(F.max("run_ts")).scalar()
-    return rows.where(F.col("run_ts") == newest)
+    newest = newest_run(spark, path, model_id)
+    rows = read_results(spark, path)
+    return rows.where((F.col("model_id") == model_id) & (F.col("run_ts") == F.lit(newest)))

@@ -27,11 +27,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def list_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a glob; none if there is nothing."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [status.getPath().toString() for status in fs.globStatus(hadoop_path) or []]
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """True if the path, or any file of the glob, exists."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return bool(fs.globStatus(hadoop_path))
+    return bool(list_paths(spark, path))
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
