@@ -139,6 +139,9 @@ def reward(code: Column, failed: Column, outcome: Column, binary: bool = False)
 def combine_rewards(rewards: dict[str, Column], weights: dict[str, float] | None = None) -> Column:
     """Weighted sum of several reward columns (weight 1.0 if not given)."""
     weights = weights or {}
+    unknown = set(weights) - set(rewards)
+    if unknown:
+        raise ValueError(f"weights without a reward: {sorted(unknown)}")
     total = F.lit(0.0)
     for name, value in rewards.items():
         total = total + value * F.lit(float(weights.get(name, 1.0)))

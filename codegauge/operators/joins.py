@@ -14,11 +14,11 @@ _SALT = "__salt"
 def hot_keys(df: DataFrame, on: list[str], partitions: int) -> DataFrame:
     """Keys that fill more than one average shuffle partition, with how many.
 
-    Counts are aggregated before the shuffle.  Each listed key holds more than
+    Null keys are left out: they match nothing.  Counts are aggregated before the shuffle.  Each listed key holds more than
     ``1/partitions`` of the rows, so there are fewer than ``partitions`` of them:
     the list may be broadcast whatever the size of the data.
     """
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("__rows"))
+    counts = df.dropna(subset=on).groupBy(*on).agg(F.count(F.lit(1)).alias("__rows"))
     total = counts.agg(F.sum("__rows")).scalar()
     fan_out = F.ceil(F.col("__rows") * F.lit(partitions) / total).cast("int")
     return counts.select(*on, fan_out.alias(_FAN_OUT)).where(F.col(_FAN_OUT) > 1)

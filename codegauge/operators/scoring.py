@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,6 +100,22 @@ def score_rewards(
     return joined.withColumn("reward", value).drop("stdout", "success", "__outcome")
 
 
+def apply_rewards(
+    df: DataFrame,
+    rewards: dict[str, Callable[..., Column]],
+    weights: dict[str, float] | None = None,
+) -> DataFrame:
+    """Add one column per reward function, and their weighted sum as ``reward``.
+
+    A reward function gets every column of ``df`` as a keyword argument and gives
+    a column expression.
+    """
+    columns = {name: F.col(f"`{name}`") for name in df.columns}
+    values = {name: build(**columns) for name, build in rewards.items()}
+    scored = df.withColumns(values)
+    return scored.withColumn("reward", O.combine_rewards({n: F.col(n) for n in values}, weights))
+
+
 def score_tasks(
     scripts: DataFrame,
     executions: DataFrame,

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codegauge.functions import execution as X
 from codegauge.operators import checkpoints, metrics, scoring
+from codegauge.sources import results
 from codegauge.storage import stage
 
 # rows with a ``script`` column, key -> one execution per scripted row
@@ -73,6 +75,48 @@ def evaluate_dataset(
     )
 
 
+def new_run_stamp() -> str:
+    return datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H-%M-%SZ")
+
+
+def evaluate(
+    spark: SparkSession,
+    tasks: dict[str, DataFrame],
+    results_path: str,
+    generate: Callable[[DataFrame], DataFrame],
+    execute: Execute,
+    model_name: str,
+    model_id: str,
+    resume: bool = True,
+) -> tuple[DataFrame, DataFrame]:
+    """Evaluate a model on several data sets and append the results.
+
+    Goes on with the model's newest run; starts a new one if there is none, if
+    ``resume`` is off, or if no task is pending in any data set.  Gives the
+    metrics per data set and the rows of the run.
+    """
+    run_ts = results.newest_run(spark, results_path, model_id) if resume else None
+    todo = dict(tasks)
+    if run_ts is not None:
+        so_far = results.read_run(spark, results_path, model_id, run_ts)
+        todo = {
+            name: df
+            for name, df in tasks.items()
+            if not checkpoints.pending(
+                df, so_far.where(F.col("dataset_name") == name), ["task_id"]
+            ).isEmpty()
+        }
+    if run_ts is None or not todo:
+        run_ts, todo = new_run_stamp(), dict(tasks)
+    for name, df in todo.items():
+        so_far = results.read_run(spark, results_path, model_id, run_ts)
+        rows = evaluate_dataset(df, so_far, generate, execute, name, model_name, model_id)
+        results.append_results(rows.withColumn("run_ts", F.lit(run_ts)), results_path)
+    run = results.read_run(spark, results_path, model_id, run_ts)
+    known = spark.createDataFrame([(model_id, n) for n in tasks], "model_id string, dataset_name string")
+    return metrics.dataset_metrics(run, known), run
+
+
 def verify_benchmark(
     prepared: DataFrame, execute: Execute, row_key: str = "task_id"
 ) -> tuple[DataFrame, DataFrame]:

@@ -33,8 +33,12 @@ def newest_run(spark: SparkSession, path: str, model_id: str) -> str | None:
     return max((names.unescapePathName(run) for run in runs), default=None)
 
 
-def read_latest_run(spark: SparkSession, path: str, model_id: str) -> DataFrame:
-    """Rows of one model's newest run; only that run's folder is scanned."""
-    newest = newest_run(spark, path, model_id)
+def read_run(spark: SparkSession, path: str, model_id: str, run_ts: str | None) -> DataFrame:
+    """Rows of one run; only that run's folder is scanned."""
     rows = read_results(spark, path)
-    return rows.where((F.col("model_id") == model_id) & (F.col("run_ts") == F.lit(newest)))
+    return rows.where((F.col("model_id") == model_id) & (F.col("run_ts") == F.lit(run_ts)))
+
+
+def read_latest_run(spark: SparkSession, path: str, model_id: str) -> DataFrame:
+    """Rows of one model's newest run."""
+    return read_run(spark, path, model_id, newest_run(spark, path, model_id))

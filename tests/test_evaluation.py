@@ -242,6 +242,48 @@ def test_evaluation_job_with_resume(spark, tmp_path):
     assert [r.task_id for r in evaluate(stored).collect()] == ["1"]
 
 
+def test_evaluate_resumes_and_then_starts_a_new_run(spark, tmp_path, monkeypatch):
+    message = F.array(F.struct(F.lit("user").alias("role"), F.lit("p").alias("content"))).alias("prompt")
+    tasks = spark.createDataFrame([(str(i),) for i in range(3)], "task_id string").select(
+        "task_id", message, F.lit("{solution}").alias("test"))
+    failing = {"yes": True}
+    stamps = iter(["2024-01-01T00-00-00Z", "2024-01-02T00-00-00Z"])
+    monkeypatch.setattr(evaluation, "new_run_stamp", lambda: next(stamps))
+
+    def generate(todo):
+        # the first call has no answer for task 2
+        dead = (F.col("task_id") == "2") & F.lit(failing["yes"])
+        return todo.select(
+            "task_id", F.when(dead, "").otherwise("```python\ndef good(): pass\n```").alias("completion"),
+            F.when(dead, 0).otherwise(10).alias("token_count"), F.lit(0.1).alias("generation_time"),
+            F.lit(1.0).alias("throughput"))
+
+    def evaluate():
+        both = {"human_eval": tasks, "mbpp": tasks.where("task_id < '2'")}
+        table, run = evaluation.evaluate(
+            spark, both, str(tmp_path / "results"), generate, run_python, "org/m", "org/m")
+        return {r.dataset_name: r for r in table.collect()}, run.select("run_ts").distinct().collect(), run.count()
+
+    metrics_1, runs_1, n_1 = evaluate()
+    assert (metrics_1["human_eval"].completed_tasks, metrics_1["mbpp"].completed_tasks, n_1) == (2, 2, 5)
+    failing["yes"] = False
+    metrics_2, runs_2, n_2 = evaluate()
+    assert runs_2 == runs_1 and n_2 == 6  # only the unanswered task was added
+    assert metrics_2["human_eval"].completed_tasks == 3 and metrics_2["human_eval"].pass_rate == 1.0
+    _, runs_3, n_3 = evaluate()
+    assert runs_3[0].run_ts == "2024-01-02T00-00-00Z" and n_3 == 5
+
+
+def test_reward_functions_get_all_columns(spark):
+    df = spark.createDataFrame([(1, 0.5, True)], "i int, rate double, correct_format boolean")
+    row = scoring.apply_rewards(
+        df, {"accuracy": lambda rate, **_: rate, "form": lambda correct_format, **_: correct_format.cast("double")},
+        {"form": 0.5}).first()
+    assert (row.accuracy, row.form, row.reward) == (0.5, 1.0, 1.0)
+    with pytest.raises(ValueError):
+        scoring.apply_rewards(df, {"a": lambda rate, **_: rate}, {"b": 1.0})
+
+
 def test_verify_jobs(spark):
     prepared = spark.createDataFrame([("1", "good", "bad"), ("2", "good", "good")],
                                      "task_id string, test_solution string, short_test_solution string")

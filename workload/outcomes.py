@@ -135,9 +135,15 @@ def reward_weighted(spark, sf_dir):
     """Accuracy plus a small reward for the asked format."""
     scripts, executions = _scored(spark, sf_dir, "append")
     scored = scoring.score_rewards(scripts, executions, "sample_id")
-    parts = {"accuracy": F.col("reward"), "format": F.col("correct_format").cast("double")}
-    total = O.combine_rewards(parts, {"format": 0.25})
-    return scored.select("sample_id", total.alias("reward"))
+    total = scoring.apply_rewards(
+        scored.withColumnRenamed("reward", "rate"),
+        {
+            "accuracy": lambda rate, **_: rate,
+            "format_reward": lambda correct_format, **_: correct_format.cast("double"),
+        },
+        {"format_reward": 0.25},
+    )
+    return total.select("sample_id", "reward")
 
 
 def task_scoring(spark, sf_dir):
