@@ -14,6 +14,8 @@ BOOLEAN_LIST = (
 )
 PASSED_OBJECT = '{"passed": true}'
 FAILED_OBJECT = '{"passed": false}'
+# One pair of brackets and no quotes: nothing can follow the list.
+FLAT_LIST = r"^[ \t\r]*+\[[^\[\]\"]*+\][ \t\r]*+$"
 JSON_START = r"^[ \t\r]*+[\[{\"\-0-9tfn]"
 
 
@@ -30,7 +32,7 @@ def _only_value(line: Column) -> Column:
     """
     wrapped = _as_list(F.try_parse_json(F.concat(F.lit("["), line, F.lit("]"))))
     as_field = F.try_parse_json(F.concat(F.lit('{"v":'), line, F.lit("}")))
-    whole = ~line.contains("]") | as_field.isNotNull()
+    whole = ~line.contains("]") | line.rlike(FLAT_LIST) | as_field.isNotNull()
     only = let(wrapped, lambda w: F.when(F.size(w) == 1, F.try_element_at(w, F.lit(1))))
     return F.when(line.rlike(JSON_START) & whole, only)
 
@@ -40,18 +42,17 @@ def last_json(stdout: Column) -> Column:
     return let(last_line(stdout), _only_value)
 
 
+def _truthy_text(json: Column) -> Column:
+    """Python truth value of a JSON value in compact text form."""
+    number = json.rlike("^-?[0-9]")
+    return F.when(json.isin("false", "null", '""', "[]", "{}"), False).when(
+        number, json.try_cast("double") != 0
+    ).otherwise(json.isNotNull())
+
+
 def truthy(value: Column) -> Column:
-    """Python truth value of one JSON value held in a variant."""
-    kind = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull() | F.is_variant_null(value), False)
-        .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
-        .when(kind == "STRING", F.length(F.try_variant_get(value, "$", "string")) > 0)
-        .when(kind.startswith("ARRAY"), F.size(_as_list(value)) > 0)
-        .when(kind == "OBJECT<>", False)
-        .when(kind.startswith("OBJECT"), True)
-        .otherwise(F.try_variant_get(value, "$", "double") != 0)
-    )
+    """Python truth value of one JSON value held in a variant; null is false."""
+    return let(F.to_json(value), _truthy_text)
 
 
 def parse_outcome(stdout: Column) -> Column:
@@ -69,14 +70,13 @@ def parse_outcome(stdout: Column) -> Column:
             (passed if isinstance(passed, Column) else F.lit(passed)).cast("boolean").alias("passed"),
         )
 
-    def any_json(value: Column) -> Column:
-        items = _as_list(value)
-        is_object = F.schema_of_variant(value).startswith("OBJECT")
+    def any_json(line: Column, value: Column) -> Column:
+        texts = F.transform(_as_list(value), lambda item: F.to_json(item))
         found = truthy(F.try_variant_get(value, "$.passed", "variant"))
         return (
             F.when(value.isNull(), outcome("invalid"))
-            .when(items.isNotNull(), outcome("list", F.transform(items, truthy)))
-            .when(is_object, outcome("object", passed=F.coalesce(found, F.lit(False))))
+            .when(line.rlike(r"^[ \t\r]*+\["), outcome("list", F.transform(texts, _truthy_text)))
+            .when(line.rlike(r"^[ \t\r]*+\{"), outcome("object", passed=found))
             .otherwise(outcome("other"))
         )
 
@@ -86,7 +86,7 @@ def parse_outcome(stdout: Column) -> Column:
             F.when(line.rlike(BOOLEAN_LIST), outcome("list", F.transform(words, lambda w: w == "true")))
             .when(line == PASSED_OBJECT, outcome("object", passed=True))
             .when(line == FAILED_OBJECT, outcome("object", passed=False))
-            .otherwise(let(_only_value(line), any_json))
+            .otherwise(let(_only_value(line), lambda value: any_json(line, value)))
         )
 
     return let(last_line(stdout), last)

@@ -8,8 +8,9 @@ import json
 from pyspark.sql import functions as F
 
 from codegauge.functions import scripts as S
-from codegauge.functions.outcome import parse_outcome, task_pass_rate
+from codegauge.functions.outcome import task_pass_rate
 from codegauge.operators import execute, triage
+from codegauge.operators.metrics import with_outcome
 from workload.views import SCRIPT_FORMS, view, with_views
 
 
@@ -74,11 +75,10 @@ def fast_print_runner(script: str, limits: dict) -> dict:
 
 
 def _summary(executions):
-    rate = task_pass_rate(parse_outcome(F.col("stdout")))
-    return executions.select(
-        "row_id", "sandbox_type", "stdout", "exit_code",
-        F.when(F.size("errors") > 0, F.col("errors")[0]["error_class"]).alias("error_class"),
-        rate.alias("pass_rate"),
+    error = F.when(F.size("errors") > 0, F.col("errors")[0]["error_class"])
+    return with_outcome(executions).select(
+        "row_id", "sandbox_type", "stdout", "exit_code", error.alias("error_class"),
+        task_pass_rate(F.col("outcome")).alias("pass_rate"),
     )
 
 
