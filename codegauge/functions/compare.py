@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codegauge.functions.text import strip
+from codegauge.functions.text import let, strip
 
 DEFAULT_ABS_TOL = 1e-6
 DEFAULT_REL_TOL = 1e-7
@@ -49,10 +49,12 @@ def _double(value: Column, data_type: T.DataType) -> Column:
 
 def text_to_double(text: Column) -> Column:
     """Python's ``float(text)``; null where it would raise."""
-    trimmed = strip(text)
-    value = F.replace(trimmed, F.lit("_"), F.lit("")).try_cast("double")
-    # of the accepted texts only a signed NaN is no number to Spark
-    return F.when(trimmed.rlike(FLOAT_TEXT), F.coalesce(value, F.lit(float("nan"))))
+    def number(trimmed: Column) -> Column:
+        value = F.replace(trimmed, F.lit("_"), F.lit("")).try_cast("double")
+        # of the accepted texts only a signed NaN is no number to Spark
+        return F.when(trimmed.rlike(FLOAT_TEXT), F.coalesce(value, F.lit(float("nan"))))
+
+    return let(strip(text), number)
 
 
 def _has_fraction(value: Column) -> Column:
