@@ -170,7 +170,10 @@ def execute_scripts(
     limits: dict | None = None,
     partitions: int | None = None,
 ) -> DataFrame:
-    """One execution per row with a script; equal scripts run once."""
+    """One execution per row with a script; equal scripts run once.
+
+    ``df`` is read three times (scripts, hash counts, rows): pass a stored table.
+    """
     runs = _run_distinct(
         distinct_scripts(df, script_column), runner, engine, limits or {}, _partitions(df, partitions)
     )
@@ -214,11 +217,12 @@ def execute_with_fallback(
     """Fast engine where it can run a script, container elsewhere, then retries.
 
     Fast-engine failures on valid Python run again in the container.  Everything
-    happens once per distinct script.  First results are kept as a table in the
-    shared folder, because the retry and the merge both read them.
+    happens once per distinct script.  Input scripts and first results are kept as
+    tables in the shared folder, because several steps read them.
     """
     limits = limits or {}
     partitions = _partitions(df, partitions)
+    df = stage(df.select(row_key, script_column), "asked")
     scripts = distinct_scripts(df, script_column)
     if skip_compatibility_check:
         scripts = stage(scripts, "scripts")

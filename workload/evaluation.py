@@ -11,8 +11,9 @@ from workload.sqltext import PARSED
 from workload.views import view, with_views
 
 
-DONE_PART = """model_id = 'model_0' OR (model_id = 'model_1' AND dataset_name = 'human_eval')
-  OR CAST(task_id AS int) % 3 = 0"""
+# Model 0 answered everything, model 1 one data set, model 2 a third of the tasks.
+ANSWERED = """CASE WHEN model_id = 'model_0' OR (model_id = 'model_1' AND dataset_name = 'human_eval')
+  OR CAST(task_id AS int) % 3 = 0 THEN token_count ELSE 0 END"""
 
 
 def _results(spark, sf_dir):
@@ -27,13 +28,19 @@ def _known(results):
     )
 
 
+def _rounded(df, *columns):
+    """Sums of doubles depend on their order in the last digits."""
+    return df.withColumns({c: F.round(c, 9) for c in columns})
+
+
 def dataset_metrics(spark, sf_dir):
     results = _results(spark, sf_dir)
-    return metrics.dataset_metrics(results, _known(results))
+    return _rounded(metrics.dataset_metrics(results, _known(results)), "avg_sandbox_execution_time")
 
 
 def dataset_metrics_latest(spark, sf_dir):
-    return metrics.dataset_metrics(_results(spark, sf_dir), dedupe="latest")
+    latest = metrics.dataset_metrics(_results(spark, sf_dir), dedupe="latest")
+    return _rounded(latest, "avg_sandbox_execution_time")
 
 
 def _task_table(spark, sf_dir):
@@ -42,17 +49,18 @@ def _task_table(spark, sf_dir):
     return view(spark, sf_dir, "fx_tasks").select(names.alias("dataset_name"), "task_id")
 
 
+def _partly_answered(spark, sf_dir):
+    return _results(spark, sf_dir).withColumn("token_count", F.expr(ANSWERED))
+
+
 def pending_tasks(spark, sf_dir):
-    one_model = _results(spark, sf_dir).where(
-        (F.col("model_id") == "model_1") & (F.col("task_id").cast("int") % 3 == 0)
+    return checkpoints.pending(
+        _task_table(spark, sf_dir), _partly_answered(spark, sf_dir).where("model_id = 'model_1'")
     )
-    return checkpoints.pending(_task_table(spark, sf_dir), one_model)
 
 
 def _status(spark, sf_dir):
-    """Model 0 did both data sets, model 1 one of them, model 2 a part of each."""
-    results = _results(spark, sf_dir).where(DONE_PART)
-    return checkpoints.run_status(_task_table(spark, sf_dir), results)
+    return checkpoints.run_status(_task_table(spark, sf_dir), _partly_answered(spark, sf_dir))
 
 
 def run_status(spark, sf_dir):
@@ -71,7 +79,8 @@ def latest_run(spark, sf_dir):
 
 
 def engine_telemetry(spark, sf_dir):
-    return metrics.execution_telemetry(_executions(spark, sf_dir))
+    telemetry = metrics.execution_telemetry(_executions(spark, sf_dir))
+    return _rounded(telemetry, "mean_sec", "median_sec", "runs_per_sec")
 
 
 def fallback_merge(spark, sf_dir):
@@ -192,7 +201,7 @@ METRICS = """
   sum(CASE WHEN passed THEN 1 ELSE 0 END) / count(*) AS pass_rate,
   sum(CASE WHEN correct_format THEN 1 ELSE 0 END) / count(*) AS format_success_rate,
   sum(CASE WHEN extraction_success THEN 1 ELSE 0 END) / count(*) AS extraction_success_rate,
-  avg(sandbox_execution_time) AS avg_sandbox_execution_time,
+  round(avg(sandbox_execution_time), 9) AS avg_sandbox_execution_time,
   CAST(sum(token_count) AS BIGINT) AS total_tokens,
   avg(token_count) AS avg_tokens,
   count(*) AS completed_tasks"""
@@ -205,8 +214,8 @@ task_table AS (
 
 STATUS = f"""
 {TASK_TABLE.strip()}, per_task AS (
-  SELECT model_id, dataset_name, task_id, max(CASE WHEN token_count > 0 THEN 1 ELSE 0 END) = 1 AS answered
-  FROM fx_task_results WHERE {DONE_PART}
+  SELECT model_id, dataset_name, task_id, max(CASE WHEN {ANSWERED} > 0 THEN 1 ELSE 0 END) = 1 AS answered
+  FROM fx_task_results
   GROUP BY model_id, dataset_name, task_id
 ), status AS (
   SELECT p.model_id, p.dataset_name,
@@ -272,8 +281,9 @@ ORACLES = {
         ["fx_task_results", "fx_tasks"],
         f"""+ {TASK_TABLE}
         SELECT dataset_name, task_id FROM task_table t WHERE NOT EXISTS (
-          SELECT 1 FROM fx_task_results r WHERE r.dataset_name = t.dataset_name AND r.task_id = t.task_id
-            AND r.token_count > 0 AND r.model_id = 'model_1' AND CAST(r.task_id AS int) % 3 = 0)""",
+          SELECT 1 FROM (SELECT *, {ANSWERED} AS answer_tokens FROM fx_task_results) r
+          WHERE r.dataset_name = t.dataset_name AND r.task_id = t.task_id
+            AND r.answer_tokens > 0 AND r.model_id = 'model_1')""",
     ),
     "run_status": with_views(
         ["fx_task_results", "fx_tasks"],
@@ -295,9 +305,9 @@ ORACLES = {
     "engine_telemetry": with_views(
         ["fx_executions"],
         """SELECT sandbox_type, count(*) AS n, count(*) / sum(count(*)) OVER () AS share,
-          avg(duration_sec) AS mean_sec, median(duration_sec) AS median_sec,
+          round(avg(duration_sec), 9) AS mean_sec, round(median(duration_sec), 9) AS median_sec,
           sum(CASE WHEN exit_code = 0 AND is_valid_python THEN 1 ELSE 0 END) / count(*) AS success_rate,
-          count(*) / sum(duration_sec) AS runs_per_sec
+          round(count(*) / sum(duration_sec), 9) AS runs_per_sec
         FROM fx_executions GROUP BY sandbox_type""",
     ),
     "fallback_merge": with_views(

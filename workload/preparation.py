@@ -120,7 +120,7 @@ def _training(spark, sf_dir):
 
 
 def prepared_training(spark, sf_dir):
-    prepared = prepare.prepare_training(_training(spark, sf_dir), seed=12, num_samples=300)
+    prepared = prepare.prepare_training(_training(spark, sf_dir), seed=12, num_samples=10_000)
     content = F.col("prompt")[0]["content"]
     return prepared.select("seq_id", F.md5(content).alias("prompt_md5"), "tests", "test_solution")
 
@@ -243,7 +243,7 @@ ORACLES = {
     ),
     "prepared_training": f"""
         WITH sampled AS (
-          SELECT * FROM documents ORDER BY md5(concat('12:', CAST(doc_id AS string))), doc_id LIMIT 300
+          SELECT * FROM documents ORDER BY md5(concat('12:', CAST(doc_id AS string))), doc_id LIMIT 10000
         ), rows AS (
           SELECT doc_id AS seq_id, text, concat('fn_', CAST(doc_id AS string)) AS name,
             concat('[bool(fn_', CAST(doc_id AS string), '(1) == 1), bool(fn_', CAST(doc_id AS string), '(2) == 2)]') AS cases

@@ -70,8 +70,8 @@ def prepared_reuse(spark, sf_dir):
     raw_path = storage.new_path(spark, "raw")
     tables.export_table(raw, raw_path)
     root = storage.new_path(spark, "prepared")
-    first = tables.load_training(spark, raw_path, root, seed=3, num_samples=150)
-    again = tables.load_training(spark, raw_path, root, seed=3, num_samples=150)
+    first = tables.load_training(spark, raw_path, root, seed=3, num_samples=10_000)
+    again = tables.load_training(spark, raw_path, root, seed=3, num_samples=10_000)
     return first.join(again.select("seq_id"), "seq_id").select("seq_id", "tests")
 
 
@@ -123,7 +123,7 @@ def log_telemetry(spark, sf_dir):
         .groupBy("sandbox", "level")
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.avg(support.log_field("duration", "double")).alias("mean_sec"),
+            F.round(F.avg(support.log_field("duration", "double")), 9).alias("mean_sec"),
             F.max("line").alias("last_line"),
             F.date_format(F.max("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("last_time"),
         )
@@ -199,7 +199,7 @@ ORACLES = {
     ),
     "prepared_reuse": """
         SELECT doc_id AS seq_id, concat(chr(10), 'import json', chr(10), 'results = [bool(f(1) == 1)]', chr(10), 'print(json.dumps(results))') AS tests
-        FROM documents ORDER BY md5(concat('3:', CAST(doc_id AS string))), doc_id LIMIT 150""",
+        FROM documents ORDER BY md5(concat('3:', CAST(doc_id AS string))), doc_id LIMIT 10000""",
     "generations_read": with_views(
         ["fx_generations"],
         """SELECT CAST(sample_id AS string) AS task_id, CASE WHEN token_count > 0 THEN 'answer' ELSE '' END AS completion,
@@ -216,7 +216,7 @@ ORACLES = {
         """+ logs AS (SELECT CASE WHEN exec_id % 50 <> 0 THEN exec_id END AS line, * FROM fx_executions)
         SELECT CASE WHEN line IS NOT NULL THEN sandbox_type END AS sandbox,
           CASE WHEN line IS NOT NULL THEN CASE WHEN exit_code = 0 THEN 'DEBUG' ELSE 'ERROR' END END AS level,
-          count(*) AS n, avg(CASE WHEN line IS NOT NULL THEN duration_sec END) AS mean_sec,
+          count(*) AS n, round(avg(CASE WHEN line IS NOT NULL THEN duration_sec END), 9) AS mean_sec,
           CAST(max(line) AS INTEGER) AS last_line,
           strftime(max(CASE WHEN line IS NOT NULL THEN start_time END), '%Y-%m-%d %H:%M:%S') AS last_time
         FROM logs GROUP BY 1, 2""",
