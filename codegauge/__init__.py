@@ -27,6 +27,7 @@ from codegauge.operators.prepare import (
     sample_rows,
 )
 from codegauge.operators.scoring import (
+    add_rewards,
     apply_rewards,
     build_scripts,
     classify_execution,

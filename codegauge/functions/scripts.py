@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import inspect
+import logging
 import re
-from collections.abc import Iterable
+import textwrap
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +14,8 @@ from pyspark.sql import functions as F
 from codegauge import fixed_values as V
 from codegauge.functions.text import first_line, message_list, strip
 
+log = logging.getLogger(__name__)
+
 SOLUTION_MARKER = "{solution}"
 
 
@@ -152,12 +157,28 @@ def dependency_header(script: Column, dependencies: Column) -> Column:
     return F.when(F.size(dependencies) > 0, F.concat(header, script)).otherwise(script)
 
 
-def with_helpers(script: Column, helper_sources: Iterable[str]) -> Column:
+def helper_sources(functions: Iterable[Callable]) -> list[str]:
+    """Source texts of helper functions; those without a source are left out."""
+    sources = []
+    for function in functions:
+        try:
+            sources.append(textwrap.dedent(inspect.getsource(function)))
+        except (OSError, TypeError) as error:
+            log.warning("no source for helper %r: %s", function, error)
+    return sources
+
+
+def with_helpers(script: Column, sources: Iterable[str]) -> Column:
     """Helper function sources before a script; unchanged if there are none."""
-    sources = list(helper_sources)
+    sources = list(sources)
     return F.concat(F.lit("\n\n".join(sources) + "\n\n"), script) if sources else script
 
 
+def container_script(script: Column, dependencies: Column, sources: Iterable[str] = ()) -> Column:
+    """What the container engine runs: helpers, dependency header, script."""
+    return with_helpers(dependency_header(script, dependencies), sources)
+
+
 def _string_literal(text: Column) -> Column:
     """Text as a quoted JSON string, which is also a Python literal."""
     quoted = F.to_json(F.array(text))

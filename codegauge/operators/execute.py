@@ -150,14 +150,18 @@ def _partitions(df: DataFrame, partitions: int | None) -> int:
     return partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def to_rows(df: DataFrame, executions: DataFrame, row_key: str, script_column: str) -> DataFrame:
+def to_rows(df: DataFrame, executions: DataFrame, row_key: str, script_column: str, attach: bool) -> DataFrame:
     """Executions of distinct scripts back on the rows that asked for them.
 
-    One script may belong to any share of the rows.
+    One script may belong to any share of the rows.  With ``attach`` the execution
+    columns come beside all columns of ``df`` and are null on rows without a
+    script, so scoring needs no further join.  Without it the result has the row
+    key and the execution, for rows with a script.
     """
-    asked = df.where(F.col(script_column).isNotNull()).select(
-        row_key, F.sha2(F.col(script_column), 256).alias(HASH)
-    )
+    script_hash = F.sha2(F.col(script_column), 256).alias(HASH)
+    if attach:
+        return skew_join(df.select("*", script_hash), executions, [HASH], "left", [row_key]).drop(HASH)
+    asked = df.where(F.col(script_column).isNotNull()).select(row_key, script_hash)
     return skew_join(asked, executions, [HASH], "inner", [row_key]).drop(HASH)
 
 
@@ -169,6 +173,7 @@ def execute_scripts(
     engine: str = V.CONTAINER_ENGINE,
     limits: dict | None = None,
     partitions: int | None = None,
+    attach: bool = False,
 ) -> DataFrame:
     """One execution per row with a script; equal scripts run once.
 
@@ -177,7 +182,7 @@ def execute_scripts(
     runs = _run_distinct(
         distinct_scripts(df, script_column), runner, engine, limits or {}, _partitions(df, partitions)
     )
-    return to_rows(df, runs, row_key, script_column)
+    return to_rows(df, runs, row_key, script_column, attach)
 
 
 def is_fallback_candidate() -> Column:
@@ -213,6 +218,7 @@ def execute_with_fallback(
     limits: dict | None = None,
     skip_compatibility_check: bool = False,
     partitions: int | None = None,
+    attach: bool = False,
 ) -> DataFrame:
     """Fast engine where it can run a script, container elsewhere, then retries.
 
@@ -222,7 +228,7 @@ def execute_with_fallback(
     """
     limits = limits or {}
     partitions = _partitions(df, partitions)
-    df = stage(df.select(row_key, script_column), "asked")
+    df = stage(df if attach else df.select(row_key, script_column), "asked")
     scripts = distinct_scripts(df, script_column)
     if skip_compatibility_check:
         scripts = stage(scripts, "scripts")
@@ -243,4 +249,4 @@ def execute_with_fallback(
     first = stage(first, "executions")
     candidates = first.where(is_fallback_candidate()).select(HASH).join(scripts, HASH)
     retry = _run_distinct(candidates, container_runner, V.CONTAINER_ENGINE, limits, partitions)
-    return to_rows(df, merge_fallback(first, retry, HASH), row_key, script_column)
+    return to_rows(df, merge_fallback(first, retry, HASH), row_key, script_column, attach)

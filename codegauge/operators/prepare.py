@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import logging
 import random
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from codegauge import fixed_values as V
 from codegauge.functions import scripts as S
 
+log = logging.getLogger(__name__)
+
 Repairs = list[tuple[str, str, str]] | DataFrame
 Exclusions = list[str] | DataFrame
 
@@ -143,6 +145,7 @@ def sample_rows(
         return df.limit(0)
     if seed is None:
         seed = random.SystemRandom().randrange(2**31)
+        log.info("sampling with seed %d", seed)
     place = sample_rank(F.col(key), seed)
     buckets = df.groupBy(F.substring(place, 1, digits).alias("bucket")).agg(
         F.count(F.lit(1)).alias("n")

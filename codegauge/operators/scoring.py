@@ -79,6 +79,14 @@ def classify_execution(df: DataFrame) -> DataFrame:
     })
 
 
+def add_rewards(df: DataFrame, binary: bool = False, gate_on_failed: bool = True) -> DataFrame:
+    """Reward per row from ``extracted_code, stdout, success``; null means not run."""
+    scored = df.withColumn("__outcome", O.parse_outcome(F.col("stdout")))
+    failed = ~F.col("success") if gate_on_failed else F.col("success").isNull()
+    value = O.reward(F.col("extracted_code"), failed, F.col("__outcome"), binary)
+    return scored.withColumn("reward", value).drop("__outcome")
+
+
 def score_rewards(
     scripts: DataFrame,
     executions: DataFrame,
@@ -89,15 +97,11 @@ def score_rewards(
     """Reward per completion; rows that were not executed get 0.
 
     ``executions`` has one row per executed ``row_key`` with ``stdout`` and
-    ``success``.
+    ``success``.  Executions attached to the scripts need ``add_rewards`` only.
     """
     runs = executions.select(row_key, "stdout", "success")
-    joined = scripts.join(runs, row_key, "left").withColumn(
-        "__outcome", O.parse_outcome(F.col("stdout"))
-    )
-    failed = ~F.col("success") if gate_on_failed else F.col("success").isNull()
-    value = O.reward(F.col("extracted_code"), failed, F.col("__outcome"), binary)
-    return joined.withColumn("reward", value).drop("stdout", "success", "__outcome")
+    joined = scripts.join(runs, row_key, "left")
+    return add_rewards(joined, binary, gate_on_failed).drop("stdout", "success")
 
 
 def apply_rewards(

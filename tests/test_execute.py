@@ -78,3 +78,35 @@ def test_merge_takes_the_retry(spark):
     retry = spark.createDataFrame([(2, "c", None)], "k int, v string, w int")
     rows = sorted(E.merge_fallback(first, retry, "k").collect())
     assert [tuple(r) for r in rows] == [(1, "a", None), (2, "c", None)]
+
+
+def triple(x):
+    return x * 3
+
+
+def test_container_script_keeps_helpers_and_header(spark):
+    from codegauge.functions import scripts as S
+
+    sources = S.helper_sources([triple, len])  # a built-in has no source
+    script = S.container_script(F.lit("print(triple(2))"), F.array(F.lit("numpy")), sources)
+    text = spark.range(1).select(script).first()[0]
+    assert text.startswith("def triple(x):\n    return x * 3\n\n\n# /// script\n")
+    assert text.endswith("# ///\n\nprint(triple(2))")
+    assert S.with_helpers("unchanged", []) == "unchanged"
+
+
+@pytest.mark.parametrize("fallback", [False, True])
+def test_attached_executions_score_without_a_further_join(spark, fallback):
+    from codegauge.operators import scoring
+
+    good, bad = "print([True, True])", "print([True, False])"
+    rows = [(i, good if i % 3 else bad, "x") for i in range(60)] + [(60, None, None), (61, "def f(:", "x")]
+    df = spark.createDataFrame(rows, "i int, script string, extracted_code string")
+    if fallback:
+        runs = E.execute_with_fallback(df, "i", "script", fast, runner, attach=True)
+    else:
+        runs = E.execute_scripts(df, "i", "script", runner, attach=True)
+    rewards = {r.i: r.reward for r in scoring.add_rewards(scoring.classify_execution(runs)).collect()}
+    assert rewards == {**{i: 1.0 if i % 3 else 0.5 for i in range(60)}, 60: 0.0, 61: 0.0}
+    separate = scoring.score_rewards(df, scoring.classify_execution(E.execute_scripts(df, "i", "script", runner)), "i")
+    assert {r.i: r.reward for r in separate.collect()} == rewards

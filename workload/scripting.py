@@ -43,8 +43,8 @@ def script_headers(spark, sf_dir):
     )
     inputs = F.to_json(F.struct(F.col("row_id").alias("x"), F.array(F.lit('a"b'), F.lit("c")).alias("names")))
     script = S.with_inputs(F.col("script"), inputs, ["x", "names"])
-    script = S.with_helpers(script, ["def triple(x):\n    return x * 3\n"])
-    return df.select("row_id", F.md5(S.dependency_header(script, dependencies)).alias("script_md5"))
+    script = S.container_script(script, dependencies, ["def triple(x):\n    return x * 3\n"])
+    return df.select("row_id", F.md5(script).alias("script_md5"))
 
 
 def async_scan(spark, sf_dir):
@@ -148,12 +148,12 @@ ORACLES = {
     "script_headers": with_views(
         ["fx_printing_scripts"],
         """+ full_scripts AS (
-          SELECT row_id, concat('def triple(x):', chr(10), '    return x * 3', chr(10), chr(10), chr(10), 'import json', chr(10),
+          SELECT row_id, concat('def triple(x):', chr(10), '    return x * 3', chr(10), chr(10), chr(10)) AS helpers, concat('import json', chr(10),
             'x = json.loads("', CAST(row_id AS string), '")', chr(10),
             'names = json.loads("[', chr(92), '"a', chr(92), chr(92), chr(92), '"b', chr(92), '",', chr(92), '"c', chr(92), '"]")', chr(10), script) AS body
           FROM fx_printing_scripts)
-        SELECT row_id, md5(CASE WHEN row_id % 2 = 0 THEN concat('# /// script', chr(10), '# dependencies = [', chr(10),
-          '#   "numpy",', chr(10), '#   "Pillow",', chr(10), '# ]', chr(10), '# ///', chr(10), chr(10), body) ELSE body END) AS script_md5
+        SELECT row_id, md5(CASE WHEN row_id % 2 = 0 THEN concat(helpers, '# /// script', chr(10), '# dependencies = [', chr(10),
+          '#   "numpy",', chr(10), '#   "Pillow",', chr(10), '# ]', chr(10), '# ///', chr(10), chr(10), body) ELSE concat(helpers, body) END) AS script_md5
         FROM full_scripts""",
     ),
     "async_scan": with_views(
