@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,26 +22,25 @@ def build_scripts(
     test_column: str,
     mode: str,
     run_empty: bool | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """One row per completion with its code and the script to run.
 
     ``mode='marker'`` fills the solution marker of the task's test (evaluation),
     ``mode='append'`` puts the tests after the code (rewards).  ``script`` is
     null where nothing is to run: no code, or an empty block unless ``run_empty``
-    (default: rewards run it, evaluation does not).  A task may own any share of
-    the completions.
+    (default: rewards run it, evaluation does not).  ``carry`` names task columns
+    to keep.  A task may own any share of the completions.
     """
     if mode not in ("marker", "append"):
         raise ValueError(f"unknown mode: {mode!r} (use 'marker' or 'append')")
     run_empty = (mode == "append") if run_empty is None else run_empty
     extracted = completions.withColumn("__code", extract_code(F.col("completion")))
-    joined = skew_join(
-        extracted,
-        tasks.select("task_id", F.col(test_column).alias("__test")),
-        ["task_id"],
-        "inner",
-        [row_key],
-    )
+    wanted = tasks.select("task_id", *carry, F.col(test_column).alias("__test"))
+    if row_key == "task_id":  # one completion per task: no hot keys
+        joined = extracted.join(wanted, "task_id")
+    else:
+        joined = skew_join(extracted, wanted, ["task_id"], "inner", [row_key])
     code = F.col("__code.code")
     script = (
         S.fill_solution(F.col("__test"), code)

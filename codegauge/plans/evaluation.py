@@ -65,10 +65,14 @@ def evaluate_dataset(
         (F.col("dataset_name") == dataset_name) & (F.col("model_id") == model_id)
     )
     todo = stage(checkpoints.pending(tasks, mine, ["task_id"]), "pending")
-    generations = generate(todo)
-    scripts = scoring.build_scripts(generations, todo, "task_id", "test", mode="marker")
-    # generations cost the most and are read several times: kept as a table
-    scripts = stage(scripts.join(todo.select("task_id", "prompt"), "task_id"), "scripts")
+    # generations cost the most, so they are stored before anything reads them
+    generations = stage(generate(todo), "generations")
+    scripts = stage(
+        scoring.build_scripts(
+            generations, todo, "task_id", "test", mode="marker", carry=["prompt"]
+        ),
+        "scripts",
+    )
     executions = with_success(execute(scripts.where(F.col("script").isNotNull()), "task_id"))
     return scoring.score_tasks(
         scripts, executions, "task_id", dataset_name, model_name, model_id
