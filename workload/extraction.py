@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codegauge.functions.extract import extract_code, has_python_fence
-from codegauge.functions.text import completion_text
-from workload.sqltext import EXTRACTED
-from workload.views import view, with_views
+from codegauge.functions.text import completion_text, first_line, last_line, strip
+from workload.sqltext import EXTRACTED, stripped
+from workload.views import table, view, with_views
 
 
 def extract_last(spark, sf_dir):
@@ -55,7 +55,18 @@ def completion_messages(spark, sf_dir):
     )
 
 
+def strip_texts(spark, sf_dir):
+    """White space of any kind off both ends of whole texts; first and last line."""
+    text = F.concat(F.lit(" \t\xa0\n\x0b"), F.col("text"), F.lit("\r\n \x0c\n"))
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(
+        "doc_id", F.md5(strip(text)).alias("text_md5"), F.md5(first_line(text)).alias("first_md5"),
+        F.md5(last_line(text)).alias("last_md5"),
+    )
+
+
 QUERIES = {
+    "strip_texts": strip_texts,
     "extract_last": extract_last,
     "extract_all": extract_all,
     "format_rate": format_rate,
@@ -63,6 +74,11 @@ QUERIES = {
 }
 
 ORACLES = {
+    "strip_texts": f"""
+        WITH stripped AS (SELECT doc_id, {stripped('text')} AS text FROM documents)
+        SELECT doc_id, md5(text) AS text_md5, md5(string_split(text, chr(10))[1]) AS first_md5,
+          md5(list_last(string_split(text, chr(10)))) AS last_md5
+        FROM stripped""",
     "extract_last": with_views(
         ["fx_completions"], f"+{EXTRACTED} SELECT sample_id, code, correct_format FROM extracted"
     ),

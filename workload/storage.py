@@ -136,7 +136,11 @@ def log_telemetry(spark, sf_dir):
 def _event_stream(spark, sf_dir, view_name):
     """A view over the events table, read as a stream."""
     schema = table(spark, sf_dir, "events").schema
-    stream = scoring.read_stream(spark, sf_dir, schema, "parquet", pattern="events.parquet")
+    path = f"{sf_dir}/events.parquet"
+    if storage.path_exists(spark, f"{path}/*"):  # a folder of files
+        stream = scoring.read_stream(spark, path, schema, "parquet")
+    else:
+        stream = scoring.read_stream(spark, sf_dir, schema, "parquet", pattern="events.parquet")
     stream.withColumn("ts", F.col("ts").cast("timestamp")).createOrReplaceTempView("events")
     return spark.sql(VIEWS[view_name])
 
