@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from codegauge import fixed_values as V
 from codegauge.operators.joins import skew_join
+from codegauge.storage import stage
 
 _NODE = T.StructType([
     T.StructField("kind", T.StringType()),
@@ -143,7 +144,8 @@ def resolve_dependencies(
 
     Modules missing in ``module_map`` (``module, package``, one row per module)
     are their own package.  A map of checked small size is looked up in place,
-    without a shuffle; a larger one is joined on the module, hot modules split.
+    without a shuffle; a larger one is joined on the module, hot modules split,
+    with ``df`` kept as a table in the shared folder meanwhile.
     """
     known = F.lit(sorted(stdlib or sys.stdlib_module_names))
     third_party = F.array_except("modules", known)
@@ -158,6 +160,8 @@ def resolve_dependencies(
             .withColumn("dependencies", named)
             .drop("__third_party", "__map")
         )
+    # read three times below and usually the result of parsing: stored once
+    df = stage(df, "modules")
     needed = df.select(row_key, F.explode(third_party).alias("module"))
     joined = skew_join(needed, module_map.select("module", "package"), ["module"], "left", [row_key])
     per_row = joined.groupBy(row_key).agg(

@@ -242,6 +242,24 @@ def test_evaluation_job_with_resume(spark, tmp_path):
     assert [r.task_id for r in evaluate(stored).collect()] == ["1"]
 
 
+def test_results_do_not_depend_on_partitions(spark):
+    """Rewards and statuses are the same for one and for many partitions."""
+    fence = "`" * 3
+    completions = spark.range(400).select(
+        F.col("id").alias("sample_id"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 7).cast("string")).alias("task_id"),
+        F.concat(F.lit(f"{fence}python\ndef "), F.when(F.col("id") % 2 == 0, "good").otherwise("bad"),
+                 F.lit(f"(): pass\n{fence}")).alias("completion"))
+    tasks = completions.select("task_id", F.lit("assert 1").alias("tests")).distinct()
+
+    def rewards(parts):
+        scored = evaluation.reward_completions(tasks.repartition(parts), completions.repartition(parts), run_python)
+        return {r.sample_id: (r.task_id, r.reward, r.script) for r in scored.collect()}
+
+    one = rewards(1)
+    assert len(one) == 400 and one == rewards(16)
+
+
 def test_evaluate_resumes_and_then_starts_a_new_run(spark, tmp_path, monkeypatch):
     message = F.array(F.struct(F.lit("user").alias("role"), F.lit("p").alias("content"))).alias("prompt")
     tasks = spark.createDataFrame([(str(i),) for i in range(3)], "task_id string").select(
