@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from codegauge import fixed_values as V
-from codegauge.functions.text import first_line, message_list, strip
+from codegauge.functions.text import first_line, let, message_list, strip
 
 log = logging.getLogger(__name__)
 
@@ -181,8 +181,9 @@ def container_script(script: Column, dependencies: Column, sources: Iterable[str
 
 def _string_literal(text: Column) -> Column:
     """Text as a quoted JSON string, which is also a Python literal."""
-    quoted = F.to_json(F.array(text))
-    return quoted.substr(F.lit(2), F.length(quoted) - 2)
+    return let(
+        F.to_json(F.array(text)), lambda quoted: quoted.substr(F.lit(2), F.length(quoted) - 2)
+    )
 
 
 def with_inputs(script: Column, inputs: Column, names: Iterable[str]) -> Column:
@@ -191,16 +192,21 @@ def with_inputs(script: Column, inputs: Column, names: Iterable[str]) -> Column:
     for name in names:
         if not name.isidentifier():
             raise ValueError(f"not a variable name: {name!r}")
-    values = F.try_parse_json(inputs)
-    lines = [
-        F.concat(
-            F.lit(f"{name} = json.loads("),
-            _string_literal(F.to_json(F.try_variant_get(values, f"$.{name}", "variant"))),
-            F.lit(")\n"),
-        )
-        for name in names
-    ]
-    return F.concat(F.lit("import json\n"), *lines, script) if lines else script
+    if not names:
+        return script
+
+    def assignments(values: Column) -> Column:
+        lines = [
+            F.concat(
+                F.lit(f"{name} = json.loads("),
+                _string_literal(F.to_json(F.try_variant_get(values, f"$.{name}", "variant"))),
+                F.lit(")\n"),
+            )
+            for name in names
+        ]
+        return F.concat(F.lit("import json\n"), *lines)
+
+    return F.concat(let(F.try_parse_json(inputs), assignments), script)
 
 
 def requires_async(script: Column) -> Column:

@@ -110,3 +110,16 @@ def test_attached_executions_score_without_a_further_join(spark, fallback):
     assert rewards == {**{i: 1.0 if i % 3 else 0.5 for i in range(60)}, 60: 0.0, 61: 0.0}
     separate = scoring.score_rewards(df, scoring.classify_execution(E.execute_scripts(df, "i", "script", runner)), "i")
     assert {r.i: r.reward for r in separate.collect()} == rewards
+
+
+def test_named_inputs_become_variables(spark):
+    from codegauge.functions import scripts as S
+
+    value = {"x": [1, 'a\n"b\\'], "y": {"k": None}, "z": "é😀"}
+    df = spark.createDataFrame([("out = [x, y, z]", json.dumps(value))], "s string, j string")
+    scope = {}
+    exec(df.select(S.with_inputs(F.col("s"), F.col("j"), ["x", "y", "z"])).first()[0], scope)
+    assert scope["out"] == [value["x"], value["y"], value["z"]]
+    assert df.select(S.with_inputs(F.col("s"), F.col("j"), [])).first()[0] == "out = [x, y, z]"
+    with pytest.raises(ValueError):
+        S.with_inputs(F.col("s"), F.col("j"), ["x; y"])
