@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegauge.llm import quality
+from codegauge.llm import quality, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,5 +52,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM g
 """
 
-QUERIES = {"op7_quality_rules": op7_quality_rules}
+
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op9_simhash_near_dedup": op9_simhash_near_dedup, "op7_quality_rules": op7_quality_rules}
 ORACLES = {"op7_quality_rules": OP7_SQL}
