@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegauge.llm import quality, simhash
+from codegauge.llm import quality, secrets, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,5 +59,16 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op9_simhash_near_dedup": op9_simhash_near_dedup, "op7_quality_rules": op7_quality_rules}
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find(docs, secrets.fit(secrets.labelled_samples(docs)))
+    counts = [secrets.count_kind("__k_base", k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select(
+        "doc_id", *counts, F.sha2(secrets.as_text("__k_base"), 256).alias("base_sha256"), secrets.as_text("__k_spans").alias("spans"),
+        secrets.count_kind("__k_spans", "markov").alias("n_markov"),
+    )
+
+
+QUERIES = {"op2_secret_scans": op2_secret_scans, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op7_quality_rules": op7_quality_rules}
 ORACLES = {"op7_quality_rules": OP7_SQL}
