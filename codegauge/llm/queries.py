@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegauge.llm import quality, secrets, simhash
+from codegauge.llm import packing, quality, secrets, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,5 +71,11 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_secret_scans": op2_secret_scans, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op7_quality_rules": op7_quality_rules}
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in sequences of 2048 tokens."""
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op6_best_fit_packing": op6_best_fit_packing, "op2_secret_scans": op2_secret_scans, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op7_quality_rules": op7_quality_rules}
 ORACLES = {"op7_quality_rules": OP7_SQL}
