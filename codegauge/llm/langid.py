@@ -161,6 +161,5 @@ MIN_SCORE = 0.2
 
 def keep_known(df: DataFrame, label_col: str = "lang", text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
     """Rows whose text is close to a language of the labelled rows; the input's columns only."""
-    columns = [f"`{c}`" for c in df.columns]
-    found = df.withColumn("__l_found", predict(F.col(text_col), fit(df, label_col, text_col)))
-    return found.where((F.col("__l_found.lang") != UNKNOWN) & (F.col("__l_found.score") >= min_score)).select(*columns)
+    found = df.select(F.struct("*").alias("row"), predict(F.col(text_col), fit(df, label_col, text_col)).alias("found"))
+    return found.where((F.col("found.lang") != UNKNOWN) & (F.col("found.score") >= min_score)).select("row.*")

@@ -3,8 +3,8 @@
 Every feature and every verdict is a built-in column expression; no user function
 runs.  Defined results: a null or empty text has no words and fails the length rule;
 ratios with nothing to divide by are 0; rows are judged one by one, so repeated rows
-get repeated verdicts; an empty table gives an empty table.  Working columns carry a
-``__q_`` prefix, so other columns of the input may have any name.
+get repeated verdicts; an empty table gives an empty table.  What is added carries a
+``__q_`` prefix; ``keep_good`` takes columns of any name.
 """
 
 from __future__ import annotations
@@ -121,5 +121,5 @@ def judge(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES
 
 def keep_good(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows that pass, with the input's columns only."""
-    columns = df.columns
-    return judge(df, text_col, rules).where("__q_kept").select(*[f"`{c}`" for c in columns])
+    rows = df.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    return judge(rows, "text", rules).where("__q_kept").select("row.*")

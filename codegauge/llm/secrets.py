@@ -12,7 +12,7 @@ Spans are (start, kind number, end): code points, end exclusive, sorted by start
 kind in the order of ``KINDS``.  Defined results: a null text counts as empty and has no
 spans; rows are scanned one by one, so repeated rows repeat their spans; with nothing to
 fit on every ratio is 0 and the models add nothing; an empty table gives an empty table.
-Working columns start with ``__k_``.
+What is added starts with ``__k_``; ``redact`` takes columns of any name.
 """
 
 from __future__ import annotations
@@ -159,7 +159,7 @@ def redact(df: DataFrame, model: MarkovModel, text_col: str = "text") -> DataFra
     Other columns are untouched.
     """
     columns = df.columns
-    found = find(df, model, text_col)
+    found = find(df.select(F.struct("*").alias("row"), F.col(text_col).alias("text")), model)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -171,5 +171,5 @@ def redact(df: DataFrame, model: MarkovModel, text_col: str = "text") -> DataFra
         "__k_spans", start, step,
         lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col("__k_text"), acc["at"] + 1, F.length("__k_text"))),
     )
-    clean = F.when(F.size("__k_spans") > 0, clean).otherwise(F.col(text_col))
-    return found.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in columns])
+    clean = F.when(F.size("__k_spans") > 0, clean).otherwise(F.col("text"))
+    return found.select(*[clean.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in columns])

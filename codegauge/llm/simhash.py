@@ -232,11 +232,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group: that of the smallest id (of rows with one id, the first text)."""
-    columns = [f"`{c}`" for c in df.columns]
-    marked = stage(df.withColumn("__s_fp", fingerprint(F.col(text_col))), "simhash-documents")
-    groups = group(marked.select(F.col(id_col).alias("id"), F.col("__s_fp").alias("fp")))
-    first = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__s_id"), F.col("fp").alias("__s_fp"), F.col("root").alias("__s_root")).distinct()
-    found = marked.join(first, marked["__s_fp"].eqNullSafe(first["__s_fp"]) & marked[id_col].eqNullSafe(first["__s_id"])).drop(first["__s_fp"])
+    rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), fingerprint(F.col(text_col)).alias("fp"))
+    marked = stage(rows, "simhash-documents")
+    groups = group(marked.select("id", "fp"))
+    first = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("first_id"), F.col("fp").alias("first_fp"), "root").distinct()
+    found = marked.join(first, (F.col("fp") == F.col("first_fp")) & F.col("id").eqNullSafe(F.col("first_id")))
     # few rows: those that carry their group's own id
-    rank = F.row_number().over(Window.partitionBy("__s_root").orderBy(F.col(text_col).asc_nulls_first(), F.col("__s_fp")))
-    return found.withColumn("__s_rank", rank).where("__s_rank = 1").select(*columns)
+    rank = F.row_number().over(Window.partitionBy("root").orderBy(F.col(f"row.{text_col}").asc_nulls_first(), "fp"))
+    return found.withColumn("rank", rank).where("rank = 1").select("row.*")
