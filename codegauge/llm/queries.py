@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegauge.llm import langid, packing, quality, secrets, simhash
+from codegauge.llm import langid, packing, quality, secrets, simhash, token_files, transducer
+from codegauge.storage import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,5 +86,24 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op6_best_fit_packing": op6_best_fit_packing, "op2_secret_scans": op2_secret_scans, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op7_quality_rules": op7_quality_rules}
+def op8_token_id_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and digests of the ids read back from the ORC files."""
+    path = new_path(spark, "token-ids")
+    token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.stream_places(token_files.read(spark, path)).withColumnRenamed("id", "doc_id")
+
+
+def op3_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded text of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    ids = docs.select("doc_id", transducer.encode(F.col("text"), transducer.build_lexicon(docs, vocabulary)).alias("ids"))
+    both = ids.select("doc_id", "ids", transducer.decode(F.col("ids"), vocabulary).alias("decoded"))
+    return both.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {"op8_token_id_orc": op8_token_id_orc, "op3_bpe_transducer": op3_bpe_transducer, "op1_language_id": op1_language_id, "op6_best_fit_packing": op6_best_fit_packing, "op2_secret_scans": op2_secret_scans, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op7_quality_rules": op7_quality_rules}
 ORACLES = {"op7_quality_rules": OP7_SQL}
