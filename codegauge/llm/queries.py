@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegauge.llm import chat, langid, packing, quality, secrets, simhash, token_files, transducer
+from codegauge.llm import chat, langid, licenses, packing, quality, secrets, simhash, token_files, transducer
 from codegauge.storage import new_path
 
 
@@ -137,5 +137,16 @@ FROM e GROUP BY conv_id
 """
 
 
-QUERIES = {"op4_chat_formatting": op4_chat_formatting, "op8_token_id_orc": op8_token_id_orc, "op3_bpe_transducer": op3_bpe_transducer, "op1_language_id": op1_language_id, "op6_best_fit_packing": op6_best_fit_packing, "op2_secret_scans": op2_secret_scans, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op7_quality_rules": op7_quality_rules}
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses of every document with their places and wording differences."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.select("doc_id", licenses.find(F.col("text")).alias("found"))
+    place = lambda f: F.concat_ws(":", f["license"], f["start"].cast("string"), f["end"].cast("string"), f["missing"].cast("string"), f["extra"].cast("string"))
+    return found.select(
+        "doc_id", F.size("found").cast("long").alias("n_licenses"), F.array_join(F.array_distinct("found.license"), ",").alias("licenses"),
+        F.array_join(F.transform("found", place), ",").alias("findings"),
+    )
+
+
+QUERIES = {"op10_license_scans": op10_license_scans, "op4_chat_formatting": op4_chat_formatting, "op8_token_id_orc": op8_token_id_orc, "op3_bpe_transducer": op3_bpe_transducer, "op1_language_id": op1_language_id, "op6_best_fit_packing": op6_best_fit_packing, "op2_secret_scans": op2_secret_scans, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op7_quality_rules": op7_quality_rules}
 ORACLES = {"op4_chat_formatting": OP4_SQL, "op7_quality_rules": OP7_SQL}
