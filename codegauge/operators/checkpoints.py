@@ -34,22 +34,29 @@ def pending(tasks: DataFrame, results: DataFrame, keys: list[str] | None = None)
     return tasks.join(done, keys, "left_anti")
 
 
-def run_status(tasks: DataFrame, results: DataFrame) -> DataFrame:
+def run_status(tasks: DataFrame, results: DataFrame, models: DataFrame | None = None) -> DataFrame:
     """Per model and data set: finished, unanswered and pending tasks.
 
-    A data set is complete when no task is pending; a run that stopped early is
-    therefore continued.
+    Starts from the data sets of ``tasks`` for each model of ``models`` (default: those
+    with any result), so a data set that was never started has all its tasks pending.
+    Repeated task rows count once.  A data set is complete when no task is pending; a run
+    that stopped early is therefore continued.
     """
-    per_task = task_status(results)
-    n_tasks = tasks.groupBy("dataset_name").agg(F.count(F.lit(1)).alias("n_tasks"))
-    known = per_task.join(tasks.select(*TASK_KEY, F.lit(True).alias("is_task")), TASK_KEY, "left")
+    models = (results if models is None else models).select("model_id").distinct()
+    task_keys = tasks.select(*TASK_KEY).distinct()
+    n_tasks = task_keys.groupBy("dataset_name").agg(F.count(F.lit(1)).alias("n_tasks"))
+    # one short row: data sets are few
+    datasets = n_tasks.agg(F.collect_list(F.struct("dataset_name", "n_tasks"))).scalar()
+    expected = models.select("model_id", F.inline(datasets))
+    known = task_status(results).join(task_keys.withColumn("is_task", F.lit(True)), TASK_KEY, "left")
     done = known.groupBy("model_id", "dataset_name").agg(
         F.count_if(F.col("is_answered")).alias("n_completed"),
         F.count_if(~F.col("is_answered")).alias("n_incomplete"),
         F.count_if(F.col("is_answered") & F.col("is_task")).alias("n_done_tasks"),
     )
+    status = expected.join(done, ["model_id", "dataset_name"], "left").na.fill(0, ["n_completed", "n_incomplete", "n_done_tasks"])
     n_pending = F.col("n_tasks") - F.col("n_done_tasks")
-    return done.join(n_tasks, "dataset_name").select(
+    return status.select(
         "model_id",
         "dataset_name",
         "n_completed",

@@ -52,25 +52,52 @@ _SPARK_SCHEMA = f"{HASH} string, " + ", ".join(
     f"{f.name} {f.dataType.simpleString()}" for f in EXECUTION.fields
 )
 
+#: Limits of a run unless the call sets others; None switches one off.
+DEFAULT_LIMITS = {"max_duration_sec": 10.0, "max_memory_mb": 64}
+
 _EXIT_CODES = {None: V.EXIT_OK, "timeout": V.EXIT_TIMEOUT, "memory": V.EXIT_MEMORY}
 
 
-def _on_alarm(signum, frame):
-    raise TimeoutError("Execution timed out")
+class _Alarm:
+    """Raises TimeoutError after the limit, and again if a script swallows it."""
+
+    def __init__(self, seconds: float | None):
+        self.seconds = seconds
+        self.armed = False
+
+    def _ring(self, signum, frame):
+        if self.armed:
+            raise TimeoutError("Execution timed out")
+
+    def __enter__(self):
+        if self.seconds:
+            signal.signal(signal.SIGALRM, self._ring)
+            self.armed = True
+            signal.setitimer(signal.ITIMER_REAL, self.seconds, max(0.05, self.seconds / 20))
+
+    def __exit__(self, *_):
+        self.armed = False
+        if self.seconds:
+            signal.setitimer(signal.ITIMER_REAL, 0)
+
+
+def _exit_outcome(error: SystemExit) -> dict:
+    """``sys.exit(n)`` ends a script, with exit code n; a text is printed, code 1."""
+    if error.code is None or isinstance(error.code, int):
+        code, text = error.code or 0, ""
+    else:
+        code, text = 1, str(error.code)
+    failed = {"error_class": "runtime", "message": f"exit code {code}", "traceback": traceback.format_exc()} if code else {}
+    return {"exit_code": code, "stderr": text, **failed}
 
 
 def _call(runner: Runner, script: str, limits: dict) -> dict:
     """Run one script; whatever it raises becomes part of the result."""
-    guard = limits.get("max_duration_sec")
     try:
-        if guard:
-            signal.signal(signal.SIGALRM, _on_alarm)
-            signal.setitimer(signal.ITIMER_REAL, guard)
-        try:
+        with _Alarm(limits.get("max_duration_sec")):
             return dict(runner(script, limits))
-        finally:
-            if guard:
-                signal.setitimer(signal.ITIMER_REAL, 0)
+    except SystemExit as e:
+        return _exit_outcome(e)
     except TimeoutError as e:
         found = "timeout", e
     except MemoryError as e:
@@ -79,7 +106,7 @@ def _call(runner: Runner, script: str, limits: dict) -> dict:
         found = "syntax", e
     except NotImplementedError as e:
         found = "not_supported", e
-    except Exception as e:
+    except BaseException as e:  # one script never ends the batch
         found = "runtime", e
     error_class, error = found
     return {
@@ -180,7 +207,7 @@ def execute_scripts(
     ``df`` is read three times (scripts, hash counts, rows): pass a stored table.
     """
     runs = _run_distinct(
-        distinct_scripts(df, script_column), runner, engine, limits or {}, _partitions(df, partitions)
+        distinct_scripts(df, script_column), runner, engine, DEFAULT_LIMITS | (limits or {}), _partitions(df, partitions)
     )
     return to_rows(df, runs, row_key, script_column, attach)
 
@@ -226,7 +253,7 @@ def execute_with_fallback(
     happens once per distinct script.  Input scripts and first results are kept as
     tables in the shared folder, because several steps read them.
     """
-    limits = limits or {}
+    limits = DEFAULT_LIMITS | (limits or {})
     partitions = _partitions(df, partitions)
     df = stage(df if attach else df.select(row_key, script_column), "asked")
     scripts = distinct_scripts(df, script_column)
@@ -249,4 +276,5 @@ def execute_with_fallback(
     first = stage(first, "executions")
     candidates = first.where(is_fallback_candidate()).select(HASH).join(scripts, HASH)
     retry = _run_distinct(candidates, container_runner, V.CONTAINER_ENGINE, limits, partitions)
-    return to_rows(df, merge_fallback(first, retry, HASH), row_key, script_column, attach)
+    merged = stage(merge_fallback(first, retry, HASH), "merged")  # retries run once
+    return to_rows(df, merged, row_key, script_column, attach)

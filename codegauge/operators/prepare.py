@@ -110,7 +110,7 @@ def prepare_benchmark_b(
 
 
 def prepare_training(
-    df: DataFrame, seed: int | None = None, num_samples: int = 10_000, key: str = "seq_id"
+    df: DataFrame, seed: int | None = None, num_samples: int = -1, key: str = "seq_id"
 ) -> DataFrame:
     """Sample, then prompt, tests and self-check script; used columns are dropped."""
     return (
@@ -122,21 +122,24 @@ def prepare_training(
     )
 
 
-def sample_rank(key: Column, seed: int) -> Column:
-    """Place of a row in the seeded shuffle."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+def sample_rank(key: Column, seed: int, spread: Column | None = None) -> Column:
+    """Place of a row in the seeded shuffle; rows without a key by ``spread``."""
+    other = F.lit("") if spread is None else F.concat(F.lit("null:"), spread)
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), other)))
 
 
 def sample_rows(
-    df: DataFrame, key: str, num_samples: int, seed: int | None = None, digits: int = 5
+    df: DataFrame, key: str, num_samples: int, seed: int | None = None, digits: int = 5,
+    spread_by: list[str] | None = None,
 ) -> DataFrame:
     """Exactly ``num_samples`` rows, uniform and the same for any partitioning.
 
-    Rows are taken in the order of a seeded hash of ``key``, which must be
-    unique.  -1 takes all rows.  The hash space is cut into ``16**digits``
+    Rows are taken in the order of a seeded hash of ``key``; rows with a null key
+    in that of a hash of ``spread_by`` (default: all columns but maps), which also
+    orders rows with equal keys.  -1 takes all rows.  The hash space is cut into ``16**digits``
     buckets and counted; only the buckets up to the one that holds the last
-    wanted row are kept, and rows are ranked within their bucket.  So there is no
-    global sort or limit, only about ``num_samples`` rows are shuffled, and a
+    wanted row are kept, and rows are ranked within their bucket.  Only the bucket counts (at most
+    ``16**digits``) are summed in one task, rows are not: only about ``num_samples`` rows are shuffled, and a
     ranked group has about ``rows / 16**digits`` rows.
     """
     if num_samples < 0:
@@ -146,7 +149,9 @@ def sample_rows(
     if seed is None:
         seed = random.SystemRandom().randrange(2**31)
         log.info("sampling with seed %d", seed)
-    place = sample_rank(F.col(key), seed)
+    names = spread_by or [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    spread = F.concat_ws(",", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in names])
+    place = sample_rank(F.col(key), seed, spread)
     buckets = df.groupBy(F.substring(place, 1, digits).alias("bucket")).agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -168,7 +173,7 @@ def sample_rows(
     # no edge: fewer rows than asked for, all are taken
     all_rows = F.col("__edge").isNull()
     inside = F.col("__bucket") < F.col("__edge.bucket")
-    order = Window.partitionBy("__bucket").orderBy("__place", key)
+    order = Window.partitionBy("__bucket").orderBy("__place", key, spread)
     return (
         marked.where(all_rows | (F.col("__bucket") <= F.col("__edge.bucket")))
         .withColumn("__rank", F.row_number().over(order))

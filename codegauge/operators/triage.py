@@ -33,9 +33,6 @@ _ARROW_TYPE = pa.struct([
 ])
 _KINDS = {ast.ClassDef: "Class", ast.Match: "Match", ast.Delete: "Delete"}
 
-# A module map up to this many rows is looked up in place, a larger one is joined.
-MAX_MAP_ROWS = 2_000
-
 
 def _top_level(names: list[str]) -> list[str]:
     return [name.split(".")[0] for name in names]
@@ -142,28 +139,17 @@ def resolve_dependencies(
 ) -> DataFrame:
     """Add ``dependencies``: the packages of a script's non-standard modules.
 
-    Modules missing in ``module_map`` (``module, package``, one row per module)
-    are their own package.  A map of checked small size is looked up in place,
-    without a shuffle; a larger one is joined on the module, hot modules split,
-    with ``df`` kept as a table in the shared folder meanwhile.
+    ``module_map`` has columns ``module, package``.  A module listed more than once
+    means its alphabetically first package; rows with a null are ignored.  Modules
+    the map does not name are their own package.  Hot modules are split; ``df``,
+    usually the result of parsing, is kept as a table in the shared folder
+    meanwhile, because it is read three times.
     """
     known = F.lit(sorted(stdlib or sys.stdlib_module_names))
-    third_party = F.array_except("modules", known)
-    if module_map.limit(MAX_MAP_ROWS + 1).count() <= MAX_MAP_ROWS:
-        lookup = module_map.agg(
-            F.map_from_entries(F.collect_list(F.struct("module", "package"))).alias("m")
-        ).scalar()
-        packages = lambda m: F.coalesce(F.try_element_at(F.col("__map"), m), m)
-        named = F.array_sort(F.array_distinct(F.transform("__third_party", packages)))
-        return (
-            df.withColumns({"__third_party": third_party, "__map": lookup})
-            .withColumn("dependencies", named)
-            .drop("__third_party", "__map")
-        )
-    # read three times below and usually the result of parsing: stored once
+    named = module_map.dropna(subset=["module", "package"]).groupBy("module").agg(F.min("package").alias("package"))
     df = stage(df, "modules")
-    needed = df.select(row_key, F.explode(third_party).alias("module"))
-    joined = skew_join(needed, module_map.select("module", "package"), ["module"], "left", [row_key])
+    needed = df.select(row_key, F.explode(F.array_except("modules", known)).alias("module"))
+    joined = skew_join(needed, named, ["module"], "left", [row_key])
     per_row = joined.groupBy(row_key).agg(
         F.array_sort(F.collect_set(F.coalesce("package", "module"))).alias("dependencies")
     )

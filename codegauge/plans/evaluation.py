@@ -126,7 +126,7 @@ def verify_benchmark(
 ) -> tuple[DataFrame, DataFrame]:
     """Do the canonical solutions pass?  Gives (summary, per task and test kind)."""
     runs = [
-        execute(prepared.select(row_key, F.col(column).alias("script")), row_key)
+        stage(execute(prepared.select(row_key, F.col(column).alias("script")), row_key), "verified")
         for column in ("test_solution", "short_test_solution")
     ]
     per_task = metrics.verify_per_task(*runs, row_key)
@@ -138,7 +138,8 @@ def verify_training(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Training self-check.  Gives (summary, kept examples, skipped examples)."""
     scripts = prepared.select(row_key, F.col("test_solution").alias("script"))
-    executions = with_success(execute(scripts, row_key)).join(scripts, row_key)
+    # stored: the three results below must speak of the same runs
+    executions = stage(with_success(execute(scripts, row_key)).join(scripts, row_key), "self-checks")
     return (
         metrics.training_verification(executions),
         metrics.kept_examples(executions, row_key),

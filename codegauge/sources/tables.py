@@ -29,7 +29,7 @@ def load_training(
     raw: str,
     prepared_root: str,
     seed: int,
-    num_samples: int = 10_000,
+    num_samples: int = -1,
     fmt: str = "parquet",
 ) -> DataFrame:
     """Sampled and prepared training table; its path names seed and size."""

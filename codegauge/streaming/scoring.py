@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from codegauge.functions import outcome as O
 from codegauge.operators.checkpoints import answered
+from codegauge.sources.results import append_results
 
 RESULT_KEY = ["model_id", "dataset_name", "task_id"]
 
@@ -82,13 +83,15 @@ def append_to(stream: DataFrame, path: str, checkpoint: str, name: str) -> Strea
 
 
 def append_results_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append JSON lines per batch into a folder of its own.
+    """Append task results (``STORED_RESULT`` columns) where ``read_run`` finds them.
 
-    A batch that is run again replaces its folder.
+    A part is named by the stream's own id, which its checkpoint keeps, and the batch:
+    a batch that is run again replaces its part and no other stream's.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").json(f"{path}/batch={batch_id}")
+        query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        append_results(batch, path, f"{query_id}-{batch_id}")
 
     return (
         stream.writeStream.outputMode("append")

@@ -59,6 +59,17 @@ def test_pending_and_status(spark):
     assert again.starts_new_run
 
 
+def test_status_of_datasets_never_started(spark):
+    tasks = spark.createDataFrame([("d", "0"), ("d", "0"), ("e", "0"), ("e", "1")], "dataset_name string, task_id string")
+    rows = results(spark, [("m", "d", "0", 5, True, True, True, 0.0, 1, 1)])
+    status = checkpoints.run_status(tasks, rows)
+    got = {r.dataset_name: (r.n_completed, r.n_incomplete, r.n_pending, r.is_complete) for r in status.collect()}
+    assert got == {"d": (1, 0, 0, True), "e": (0, 0, 2, False)}
+    assert [tuple(r) for r in checkpoints.datasets_to_evaluate(status).collect()] == [("m", "e", False)]
+    fresh = spark.createDataFrame([("new",)], "model_id string")
+    assert {r.n_pending for r in checkpoints.run_status(tasks, rows, fresh).collect()} == {1, 2}
+
+
 def test_latest_run_ignores_models_with_a_longer_name(spark):
     rows = [("m", "2024-01-01", 1), ("m", "2024-02-01", 2), ("m", "2024-02-01", 3), ("m_2", "2025-01-01", 4)]
     df = spark.createDataFrame(rows, "model_id string, run_ts string, i int")
@@ -87,10 +98,11 @@ def test_telemetry_median_with_a_coarse_sketch(spark, n):
         assert metrics.execution_telemetry(df, accuracy).first().median_sec == pytest.approx(want)
 
 
-def test_unknown_engine_is_an_error(spark):
-    df = spark.createDataFrame([("other", 1.0, True)], "sandbox_type string, duration_sec double, success boolean")
-    with pytest.raises(Exception, match="unknown engine"):
-        metrics.execution_telemetry(df).collect()
+def test_unknown_engines_are_counted(spark):
+    rows = [("other", 1.0, True), (None, 3.0, False), ("monty", 1.0, True)]
+    df = spark.createDataFrame(rows, "sandbox_type string, duration_sec double, success boolean")
+    got = {r.sandbox_type: (r.n, r.median_sec) for r in metrics.execution_telemetry(df).collect()}
+    assert got == {"unknown": (2, 2.0), "monty": (1, 1.0)}
 
 
 EXECUTION = "i int, stdout string, exit_code int, is_valid_python boolean, timed_out boolean, memory_limit_hit boolean, " \

@@ -1,5 +1,6 @@
 import ast
 import json
+import sys
 import time
 
 import pytest
@@ -43,6 +44,35 @@ def test_outcomes_and_limits(spark):
     assert rows[1].end_time > rows[1].start_time
 
 
+def stubborn(script, limits):
+    """Ends the interpreter, raises odd exceptions, or swallows its time-out."""
+    if script.startswith("exit"):
+        sys.exit({"exit 0": 0, "exit 7": 7, "exit text": "gone", "exit": None}[script])
+    if script == "interrupt":
+        raise KeyboardInterrupt
+    end = time.monotonic() + 8
+    while script == "swallow" and time.monotonic() < end:
+        try:
+            time.sleep(5)
+        except TimeoutError:
+            if limits.get("rings", 0) > 1:
+                raise
+            limits["rings"] = limits.get("rings", 0) + 1
+    return {"stdout": str(limits.get("max_memory_mb"))}
+
+
+def test_nothing_ends_the_batch(spark):
+    scripts = ["exit 0", "exit 7", "exit text", "exit", "interrupt", "swallow", "fine"]
+    df = spark.createDataFrame(list(enumerate(scripts)), "i int, script string")
+    rows = {r.script: r for r in E.execute_scripts(df, "i", "script", stubborn, limits={"max_duration_sec": 0.3}, attach=True).collect()}
+    assert {s: r.exit_code for s, r in rows.items()} == {
+        "exit 0": 0, "exit 7": 7, "exit text": 1, "exit": 0, "interrupt": 1, "swallow": 124, "fine": 0,
+    }
+    assert rows["exit text"].stderr == "gone" and rows["exit 7"].errors[0].error_class == "runtime"
+    assert rows["swallow"].duration_sec < 5
+    assert rows["fine"].stdout == "64"  # the default limit stays beside the call's own
+
+
 def test_equal_scripts_run_once_and_reach_every_row(spark):
     rows = run(spark, ["print([True])"] * 300 + [f"print([{i}])" for i in range(50)])
     assert len(rows) == 350

@@ -44,6 +44,13 @@ def test_sample_is_the_same_for_any_partitioning(spark):
     assert {r.key for r in sample_rows(rows, "key", 700, seed=9, digits=1).collect()} == want
 
 
+def test_sample_with_null_and_repeated_keys(spark):
+    rows = spark.range(100).selectExpr("CASE WHEN id % 5 > 0 THEN id % 40 END AS key", "id AS number")
+    for n in (50, 90, 100):
+        picks = [sorted(r.number for r in sample_rows(rows.repartition(p), "key", n, seed=3).collect()) for p in (1, 16)]
+        assert len(picks[0]) == n and picks[0] == picks[1]
+
+
 @pytest.mark.parametrize("n,want", [(-1, 100), (0, 0), (1, 1), (99, 99), (100, 100), (500, 100)])
 def test_sample_sizes(spark, n, want):
     assert sample_rows(spark.range(100), "id", n, seed=1).count() == want

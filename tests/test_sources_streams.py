@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codegauge import storage
-from codegauge.sources import support, tables
+from codegauge.sources import results, support, tables
 from codegauge.streaming import scoring
 
 
@@ -119,9 +119,28 @@ def test_streamed_windows_equal_batch_and_drop_late_rows(spark, tmp_path):
     assert rows == {0: (2, 0.5), 4: (1, 1.0), 6: (1, 1.0)}
 
 
-def test_streamed_json_lines(spark, tmp_path):
-    folder = write_batches(tmp_path, [row("1", 1)], [row("2", 2)])
-    stream = scoring.score_stream(scoring.read_stream(spark, folder, SCHEMA, files_per_trigger=1))
+def test_streamed_results_are_read_back_and_kept(spark, tmp_path):
+    """A second stream begins at batch 0 again and must not touch the first one's rows."""
+    folder, out = write_batches(tmp_path, [row("1", 1)], [row("2", 2)]), str(tmp_path / "out")
+    for name in ("a", "b"):
+        stream = scoring.score_stream(scoring.read_stream(spark, folder, SCHEMA, files_per_trigger=1))
+        values = {"run_ts": F.lit("2024-01-01"), "completion": F.lit(name)}
+        stream = stream.withColumns(values)
+        columns = [F.col(f.name) if f.name in stream.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in results.STORED_RESULT]
+        for _ in range(2):  # the second start finds nothing new
+            scoring.append_results_stream(stream.select(*columns), out, str(tmp_path / name)).awaitTermination()
+    rows = results.read_latest_run(spark, out, "m").collect()
+    assert sorted((r.completion, r.task_id) for r in rows) == [("a", "1"), ("a", "2"), ("b", "1"), ("b", "2")]
+
+
+def test_result_files_follow_the_size(spark, tmp_path):
+    """Few files for many tasks, and a repeated part replaces only itself."""
+    rows = spark.range(4000).select(F.lit("m").alias("model_id"), (F.col("id") % 3).cast("string").alias("run_ts"), F.col("id").cast("string").alias("task_id"))
+    rows = rows.select(*[F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in results.STORED_RESULT])
     out = str(tmp_path / "out")
-    scoring.append_results_stream(stream, out, str(tmp_path / "state")).awaitTermination()
-    assert {r.task_id for r in spark.read.json(out).collect()} == {"1", "2"}
+    results.append_results(rows.repartition(16), out)
+    assert len(list(tmp_path.glob("out/part=*/model_id=m/run_ts=*/*.json"))) <= 6
+    for _ in range(2):
+        results.append_results(rows.limit(5), out, "again")
+    assert results.read_results(spark, out).count() == 4005
+    assert results.newest_run(spark, out, "m") == "2"

@@ -53,11 +53,10 @@ def test_other_allowed_modules(spark):
     assert T.triage(df, "code", allowed=["numpy"]).first().is_compatible
 
 
-@pytest.mark.parametrize("limit", [1000, 0])
-def test_dependencies_by_both_ways(spark, monkeypatch, limit):
-    """In place for a small module map, joined for a larger one."""
-    monkeypatch.setattr(T, "MAX_MAP_ROWS", limit)
-    module_map = spark.createDataFrame([("cv2", "opencv-python"), ("PIL", "Pillow")], "module string, package string")
+def test_dependencies(spark):
+    """Repeated modules mean the first package; rows with a null mean nothing."""
+    pairs = [("cv2", "opencv-python"), ("cv2", "opencv-x"), ("PIL", "Pillow"), (None, "none"), ("numpy", None)]
+    module_map = spark.createDataFrame(pairs, "module string, package string")
     rows = [(1, ["PIL", "cv2", "json", "numpy", "os"]), (2, ["json"]), (3, [])]
     df = spark.createDataFrame(rows, "id int, modules array<string>")
     got = {r.id: r.dependencies for r in T.resolve_dependencies(df, "id", module_map).collect()}

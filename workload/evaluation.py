@@ -60,7 +60,11 @@ def pending_tasks(spark, sf_dir):
 
 
 def _status(spark, sf_dir):
-    return checkpoints.run_status(_task_table(spark, sf_dir), _partly_answered(spark, sf_dir))
+    """One model never started one data set; some tasks are listed twice."""
+    tasks = _task_table(spark, sf_dir)
+    tasks = tasks.union(tasks.where("CAST(task_id AS int) % 3 = 0"))
+    results = _partly_answered(spark, sf_dir).where("model_id <> 'model_2' OR dataset_name <> 'mbpp'")
+    return checkpoints.run_status(tasks, results)
 
 
 def run_status(spark, sf_dir):
@@ -215,18 +219,15 @@ task_table AS (
 STATUS = f"""
 {TASK_TABLE.strip()}, per_task AS (
   SELECT model_id, dataset_name, task_id, max(CASE WHEN {ANSWERED} > 0 THEN 1 ELSE 0 END) = 1 AS answered
-  FROM fx_task_results
+  FROM fx_task_results WHERE NOT (model_id = 'model_2' AND dataset_name = 'mbpp')
   GROUP BY model_id, dataset_name, task_id
 ), status AS (
-  SELECT p.model_id, p.dataset_name,
-    count(*) FILTER (WHERE answered) AS n_completed,
-    count(*) FILTER (WHERE NOT answered) AS n_incomplete,
-    any_value(n.n_tasks) - count(*) FILTER (WHERE answered AND t.task_id IS NOT NULL) AS n_pending
-  FROM per_task p
-  JOIN (SELECT dataset_name, count(*) AS n_tasks FROM task_table GROUP BY dataset_name) n
-    ON n.dataset_name = p.dataset_name
-  LEFT JOIN task_table t ON t.dataset_name = p.dataset_name AND t.task_id = p.task_id
-  GROUP BY p.model_id, p.dataset_name
+  SELECT m.model_id, d.dataset_name,
+    (SELECT count(*) FROM per_task p WHERE p.model_id = m.model_id AND p.dataset_name = d.dataset_name AND answered) AS n_completed,
+    (SELECT count(*) FROM per_task p WHERE p.model_id = m.model_id AND p.dataset_name = d.dataset_name AND NOT answered) AS n_incomplete,
+    (SELECT count(*) FROM task_table t WHERE t.dataset_name = d.dataset_name AND NOT EXISTS (
+      SELECT 1 FROM per_task p WHERE p.model_id = m.model_id AND p.dataset_name = t.dataset_name AND p.task_id = t.task_id AND p.answered)) AS n_pending
+  FROM (SELECT DISTINCT model_id FROM per_task) m, (SELECT DISTINCT dataset_name FROM task_table) d
 )"""
 
 VERIFIED = f"""

@@ -120,14 +120,15 @@ def _training(spark, sf_dir):
 
 
 def prepared_training(spark, sf_dir):
-    prepared = prepare.prepare_training(_training(spark, sf_dir), seed=12, num_samples=10_000)
+    prepared = prepare.prepare_training(_training(spark, sf_dir))
     content = F.col("prompt")[0]["content"]
     return prepared.select("seq_id", F.md5(content).alias("prompt_md5"), "tests", "test_solution")
 
 
 def sample_seeded(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    return prepare.sample_rows(events, "event_id", 2500, seed=7).select("event_id", "user_id", "value")
+    """Every fifth row has no key and is placed by its number instead."""
+    events = table(spark, sf_dir, "events").withColumn("key", F.when(F.col("event_id") % 5 > 0, F.col("event_id")))
+    return prepare.sample_rows(events, "key", 2500, seed=7, spread_by=["event_id"]).select("event_id", "user_id", "value")
 
 
 def task_ids_recovered(spark, sf_dir):
@@ -243,7 +244,7 @@ ORACLES = {
     ),
     "prepared_training": f"""
         WITH sampled AS (
-          SELECT * FROM documents ORDER BY md5(concat('12:', CAST(doc_id AS string))), doc_id LIMIT 10000
+          SELECT * FROM documents
         ), rows AS (
           SELECT doc_id AS seq_id, text, concat('fn_', CAST(doc_id AS string)) AS name,
             concat('[bool(fn_', CAST(doc_id AS string), '(1) == 1), bool(fn_', CAST(doc_id AS string), '(2) == 2)]') AS cases
@@ -255,7 +256,7 @@ ORACLES = {
         FROM tests""",
     "sample_seeded": """
         SELECT event_id, user_id, value FROM events
-        ORDER BY md5(concat('7:', CAST(event_id AS string))), event_id LIMIT 2500""",
+        ORDER BY md5(concat('7:', CASE WHEN event_id % 5 > 0 THEN '' ELSE 'null:' END, CAST(event_id AS string))), event_id LIMIT 2500""",
     "task_ids_recovered": with_views(
         ["fx_tasks"],
         "SELECT task_id, CASE WHEN item_id % 6 = 0 THEN '' ELSE task_id END AS found_id FROM fx_tasks",

@@ -143,7 +143,8 @@ ORACLES = {
           SELECT script_id, unnest([regexp_extract(script, 'import (mod_[0-9]+)', 1), regexp_extract(script, 'mod_[0-9]+, (.*)\\.sub', 1)]) AS module
           FROM fx_importing_scripts)
         SELECT script_id, string_agg(DISTINCT coalesce(package, n.module), ',' ORDER BY coalesce(package, n.module)) AS dependencies
-        FROM needed n LEFT JOIN fx_module_map m ON m.module = n.module GROUP BY script_id""",
+        FROM needed n LEFT JOIN (SELECT module, min(package) AS package FROM fx_module_map GROUP BY module) m ON m.module = n.module
+        GROUP BY script_id""",
     ),
     "script_headers": with_views(
         ["fx_printing_scripts"],

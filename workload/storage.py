@@ -70,8 +70,10 @@ def prepared_reuse(spark, sf_dir):
     raw_path = storage.new_path(spark, "raw")
     tables.export_table(raw, raw_path)
     root = storage.new_path(spark, "prepared")
-    first = tables.load_training(spark, raw_path, root, seed=3, num_samples=10_000)
-    again = tables.load_training(spark, raw_path, root, seed=3, num_samples=10_000)
+    first = tables.load_training(spark, raw_path, root, seed=3)
+    # other raw rows: the second call must not look at them
+    tables.export_table(raw.where("seq_id < 0"), f"{raw_path}-none")
+    again = tables.load_training(spark, f"{raw_path}-none", root, seed=3)
     return first.join(again.select("seq_id"), "seq_id").select("seq_id", "tests")
 
 
@@ -203,7 +205,7 @@ ORACLES = {
     ),
     "prepared_reuse": """
         SELECT doc_id AS seq_id, concat(chr(10), 'import json', chr(10), 'results = [bool(f(1) == 1)]', chr(10), 'print(json.dumps(results))') AS tests
-        FROM documents ORDER BY md5(concat('3:', CAST(doc_id AS string))), doc_id LIMIT 10000""",
+        FROM documents""",
     "generations_read": with_views(
         ["fx_generations"],
         """SELECT CAST(sample_id AS string) AS task_id, CASE WHEN token_count > 0 THEN 'answer' ELSE '' END AS completion,

@@ -106,9 +106,9 @@ SELECT doc_id AS script_id,
 FROM documents"""
 
 MODULE_MAP = """
-SELECT concat('mod_', CAST(p_partkey AS string)) AS module,
-  replace(p_name, ' ', '-') AS package
-FROM part"""
+SELECT CASE WHEN copy < 2 OR p_partkey % 7 > 0 THEN concat('mod_', CAST(p_partkey AS string)) END AS module,
+  CASE WHEN copy < 2 OR p_partkey % 5 > 0 THEN concat(replace(p_name, ' ', '-'), repeat('x', 1 - copy)) END AS package
+FROM (SELECT *, 0 AS copy FROM part UNION ALL SELECT *, 1 FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT *, 2 FROM part) p"""
 
 # Scripts that print a JSON list; a third of them are copies of one script.
 PRINTING_SCRIPTS = """
