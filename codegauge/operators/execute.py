@@ -3,17 +3,20 @@
 The engine ships no runner.  A runner is a picklable function
 ``runner(script, limits) -> dict`` with any of ``stdout``, ``stderr``,
 ``exit_code``, ``is_valid_python``, ``error_class``, ``message``, ``traceback``,
-``result``.  It must be safe to call again for the same script, because tasks of
+``result``.  Columns named as a script's inputs (environment, files, dependencies,
+named values) reach it as ``limits["inputs"]``, a dict read from JSON; binary columns
+are base 64 there.  It must be safe to call again for the same script, because tasks of
 lost executors run again.  Isolation of untrusted code is the runner's duty.
 """
 
 from __future__ import annotations
 
 import datetime
+import json
 import signal
 import time
 import traceback
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,6 +32,7 @@ from codegauge.storage import stage
 Runner = Callable[[str, dict], dict]
 
 HASH = "script_hash"
+INPUTS = "script_inputs"
 
 _ERROR = pa.struct([
     ("error_class", pa.string()), ("message", pa.string()), ("traceback", pa.string()),
@@ -150,25 +154,38 @@ def _run_distinct(scripts: DataFrame, runner: Runner, engine: str, limits: dict,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [
-                _execution_row(h, s, engine, runner, limits)
-                for h, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                _execution_row(h, s, engine, runner, limits | ({"inputs": json.loads(i)} if i else {}))
+                for h, s, i in zip(*(batch.column(k).to_pylist() for k in range(3)))
             ]
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW_SCHEMA)
 
     # script costs differ by orders of magnitude: many small tasks, spread by hash
     return (
-        scripts.select(HASH, "script")
+        scripts.select(HASH, "script", INPUTS)
         .repartition(partitions, HASH)
         .mapInArrow(run, _SPARK_SCHEMA)
     )
 
 
-def distinct_scripts(df: DataFrame, script_column: str) -> DataFrame:
-    """Each script once; copies are dropped before the shuffle."""
+def _inputs(input_columns: Sequence[str]) -> Column:
+    """A row's inputs as JSON; null if it has no such columns."""
+    return F.to_json(F.struct(*input_columns)) if input_columns else F.lit(None).cast("string")
+
+
+def _hash(script_column: str, input_columns: Sequence[str]) -> Column:
+    """Scripts are equal if their text and their inputs are."""
+    script = F.col(script_column)
+    if not input_columns:
+        return F.sha2(script, 256)
+    return F.sha2(F.concat(F.sha2(script, 256), _inputs(input_columns)), 256)
+
+
+def distinct_scripts(df: DataFrame, script_column: str, input_columns: Sequence[str] = ()) -> DataFrame:
+    """Each script with its inputs once; copies are dropped before the shuffle."""
     script = F.col(script_column)
     return (
         df.where(script.isNotNull())
-        .select(F.sha2(script, 256).alias(HASH), script.alias("script"))
+        .select(_hash(script_column, input_columns).alias(HASH), script.alias("script"), _inputs(input_columns).alias(INPUTS))
         .distinct()
     )
 
@@ -177,7 +194,9 @@ def _partitions(df: DataFrame, partitions: int | None) -> int:
     return partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def to_rows(df: DataFrame, executions: DataFrame, row_key: str, script_column: str, attach: bool) -> DataFrame:
+def to_rows(
+    df: DataFrame, executions: DataFrame, row_key: str, script_column: str, attach: bool, input_columns: Sequence[str] = ()
+) -> DataFrame:
     """Executions of distinct scripts back on the rows that asked for them.
 
     One script may belong to any share of the rows.  With ``attach`` the execution
@@ -185,7 +204,7 @@ def to_rows(df: DataFrame, executions: DataFrame, row_key: str, script_column: s
     script, so scoring needs no further join.  Without it the result has the row
     key and the execution, for rows with a script.
     """
-    script_hash = F.sha2(F.col(script_column), 256).alias(HASH)
+    script_hash = _hash(script_column, input_columns).alias(HASH)
     if attach:
         return skew_join(df.select("*", script_hash), executions, [HASH], "left", [row_key]).drop(HASH)
     asked = df.where(F.col(script_column).isNotNull()).select(row_key, script_hash)
@@ -201,15 +220,16 @@ def execute_scripts(
     limits: dict | None = None,
     partitions: int | None = None,
     attach: bool = False,
+    input_columns: Sequence[str] = (),
 ) -> DataFrame:
-    """One execution per row with a script; equal scripts run once.
+    """One execution per row with a script; scripts with equal text and inputs run once.
 
     ``df`` is read three times (scripts, hash counts, rows): pass a stored table.
     """
     runs = _run_distinct(
-        distinct_scripts(df, script_column), runner, engine, DEFAULT_LIMITS | (limits or {}), _partitions(df, partitions)
+        distinct_scripts(df, script_column, input_columns), runner, engine, DEFAULT_LIMITS | (limits or {}), _partitions(df, partitions)
     )
-    return to_rows(df, runs, row_key, script_column, attach)
+    return to_rows(df, runs, row_key, script_column, attach, input_columns)
 
 
 def is_fallback_candidate() -> Column:
@@ -246,6 +266,7 @@ def execute_with_fallback(
     skip_compatibility_check: bool = False,
     partitions: int | None = None,
     attach: bool = False,
+    input_columns: Sequence[str] = (),
 ) -> DataFrame:
     """Fast engine where it can run a script, container elsewhere, then retries.
 
@@ -255,13 +276,13 @@ def execute_with_fallback(
     """
     limits = DEFAULT_LIMITS | (limits or {})
     partitions = _partitions(df, partitions)
-    df = stage(df if attach else df.select(row_key, script_column), "asked")
-    scripts = distinct_scripts(df, script_column)
+    df = stage(df if attach else df.select(row_key, script_column, *input_columns), "asked")
+    scripts = distinct_scripts(df, script_column, input_columns)
     if skip_compatibility_check:
         scripts = stage(scripts, "scripts")
         first = _run_distinct(scripts, fast_runner, V.FAST_ENGINE, limits, partitions)
     else:
-        scripts = stage(triage(scripts, "script").select(HASH, "script", "is_compatible"), "scripts")
+        scripts = stage(triage(scripts, "script").select(HASH, "script", INPUTS, "is_compatible"), "scripts")
         fast = _run_distinct(
             scripts.where("is_compatible"), fast_runner, V.FAST_ENGINE, limits, partitions
         )
@@ -277,4 +298,4 @@ def execute_with_fallback(
     candidates = first.where(is_fallback_candidate()).select(HASH).join(scripts, HASH)
     retry = _run_distinct(candidates, container_runner, V.CONTAINER_ENGINE, limits, partitions)
     merged = stage(merge_fallback(first, retry, HASH), "merged")  # retries run once
-    return to_rows(df, merged, row_key, script_column, attach)
+    return to_rows(df, merged, row_key, script_column, attach, input_columns)

@@ -73,6 +73,17 @@ def test_nothing_ends_the_batch(spark):
     assert rows["fine"].stdout == "64"  # the default limit stays beside the call's own
 
 
+def test_inputs_are_part_of_a_script(spark):
+    rows = [(i, "s", {"A": str(i % 2)}, [("f", bytearray(b"x"))]) for i in range(6)]
+    df = spark.createDataFrame(rows, "i int, script string, env map<string,string>, files array<struct<name:string,content:binary>>")
+    show = lambda script, limits: {"stdout": json.dumps(limits["inputs"], sort_keys=True)}
+    got = {r.i: r for r in E.execute_scripts(df, "i", "script", show, input_columns=["env", "files"]).collect()}
+    assert {i: json.loads(r.stdout) for i, r in got.items()} == {
+        i: {"env": {"A": str(i % 2)}, "files": [{"name": "f", "content": "eA=="}]} for i in range(6)
+    }
+    assert len({r.start_time for r in got.values()}) == 2
+
+
 def test_equal_scripts_run_once_and_reach_every_row(spark):
     rows = run(spark, ["print([True])"] * 300 + [f"print([{i}])" for i in range(50)])
     assert len(rows) == 350

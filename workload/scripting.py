@@ -88,6 +88,23 @@ def execute_scripts(spark, sf_dir):
     return _summary(execute.execute_scripts(rows, "row_id", "script", print_runner, "docker"))
 
 
+def input_runner(script: str, limits: dict) -> dict:
+    """Shows the script's value and what came with it."""
+    given = limits["inputs"]
+    shown = [print_runner(script, limits)["stdout"], given["env"]["MODE"], given["names"], given["x"]]
+    return {"stdout": json.dumps(shown)}
+
+
+def execute_with_inputs(spark, sf_dir):
+    """Equal scripts with other inputs are other runs."""
+    rows = view(spark, sf_dir, "fx_printing_scripts").where("script LIKE 'print%'").select(
+        "row_id", "script", F.create_map(F.lit("MODE"), (F.col("row_id") % 2).cast("string")).alias("env"),
+        F.array(F.lit("a.txt")).alias("names"), (F.col("row_id") % 3).alias("x"),
+    )
+    runs = execute.execute_scripts(rows, "row_id", "script", input_runner, "docker", input_columns=["env", "names", "x"])
+    return runs.select("row_id", "stdout")
+
+
 def execute_with_fallback(spark, sf_dir):
     """Routed by verdict, failures of the fast engine run again."""
     rows = view(spark, sf_dir, "fx_printing_scripts")
@@ -100,7 +117,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         import_triage, dependency_resolve, script_headers, async_scan, execute_scripts,
-        execute_with_fallback,
+        execute_with_fallback, execute_with_inputs,
     )
 }
 
@@ -167,6 +184,12 @@ ORACLES = {
         SELECT row_id, 'docker' AS sandbox_type, stdout, CAST(CASE WHEN failed THEN 1 ELSE 0 END AS INTEGER) AS exit_code,
           CASE WHEN failed THEN 'runtime' END AS error_class, {RATE} FROM rated""",
     ),
+    "execute_with_inputs": with_views(
+        ["fx_printing_scripts"],
+        f"""+ {RUN}
+        SELECT row_id, concat('["', stdout, '", "', CAST(row_id % 2 AS string), '", ["a.txt"], ', CAST(row_id % 3 AS string), ']') AS stdout
+        FROM rated WHERE starts_with(script, 'print')""",
+    ),
     "execute_with_fallback": with_views(
         ["fx_printing_scripts"],
         f"""+ {RUN}
