@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codegauge.fixed_values import PYTHON_WHITESPACE
 from codegauge.functions.text import let, strip
 
 DEFAULT_ABS_TOL = 1e-6
@@ -18,9 +19,10 @@ DEFAULT_REL_TOL = 1e-7
 
 # Number texts that Python's ``float`` accepts, in ASCII digits.
 _DIGITS = r"\d++(?:_\d++)*+"
+_EDGE = "[" + "".join(rf"\x{{{ord(c):x}}}" for c in PYTHON_WHITESPACE) + "]*+"
 FLOAT_TEXT = (
-    r"(?i)^[+-]?(?:inf|infinity|nan|"
-    rf"(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?)$"
+    rf"(?i)^{_EDGE}[+-]?(?:inf|infinity|nan|"
+    rf"(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?){_EDGE}$"
 )
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -48,13 +50,13 @@ def _double(value: Column, data_type: T.DataType) -> Column:
 
 
 def text_to_double(text: Column) -> Column:
-    """Python's ``float(text)``; null where it would raise."""
-    def number(trimmed: Column) -> Column:
-        value = F.replace(trimmed, F.lit("_"), F.lit("")).try_cast("double")
-        # of the accepted texts only a signed NaN is no number to Spark
-        return F.when(trimmed.rlike(FLOAT_TEXT), F.coalesce(value, F.lit(float("nan"))))
+    """Python's ``float(text)``; null where it would raise.
 
-    return let(strip(text), number)
+    The pattern allows white space at the edges, so only numbers are trimmed.
+    """
+    value = F.replace(strip(text), F.lit("_"), F.lit("")).try_cast("double")
+    # of the accepted texts only a signed NaN is no number to Spark
+    return F.when(text.rlike(FLOAT_TEXT), F.coalesce(value, F.lit(float("nan"))))
 
 
 def _has_fraction(value: Column) -> Column:

@@ -9,8 +9,13 @@ from codegauge.fixed_values import PYTHON_WHITESPACE
 
 
 def strip(text: Column) -> Column:
-    """Python's ``str.strip``: linear, edges only, no regex."""
-    return F.btrim(text, F.lit(PYTHON_WHITESPACE))
+    """Python's ``str.strip``: linear, edges only, no regex.
+
+    Trimming a set of characters is slow, so it is done only where an edge needs it.
+    """
+    plain = F.trim(text)
+    odd = [F.substring(plain, at, 1).isin(*PYTHON_WHITESPACE) for at in (1, -1)]
+    return F.when(odd[0] | odd[1], F.btrim(text, F.lit(PYTHON_WHITESPACE))).otherwise(plain)
 
 
 def lstrip(text: Column) -> Column:
