@@ -14,11 +14,14 @@ _SALT = "__salt"
 def hot_keys(df: DataFrame, on: list[str], partitions: int) -> DataFrame:
     """Keys that fill more than one average shuffle partition, with how many.
 
-    Null keys are left out: they match nothing.  Counts are aggregated before the shuffle.  Each listed key holds more than
+    Null keys are left out: they match nothing.  Counts are aggregated before the
+    shuffle, and one count serves both the total and the list (both plans filter alike,
+    so Spark reuses the exchange).  Each listed key holds more than
     ``1/partitions`` of the rows, so there are fewer than ``partitions`` of them:
     the list may be broadcast whatever the size of the data.
     """
-    counts = df.dropna(subset=on).groupBy(*on).agg(F.count(F.lit(1)).alias("__rows"))
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
+    counts = df.where(known).groupBy(*on).agg(F.count(F.lit(1)).alias("__rows"))
     total = counts.agg(F.sum("__rows")).scalar()
     fan_out = F.ceil(F.col("__rows") * F.lit(partitions) / total).cast("int")
     return counts.select(*on, fan_out.alias(_FAN_OUT)).where(F.col(_FAN_OUT) > 1)
@@ -38,7 +41,8 @@ def skew_join(
     rows are repeated once per salt, so at most about ``2 * partitions`` right
     rows per key multiplicity are added in total.  ``spread_by`` names left
     columns that tell rows of one key apart.  Rows with a null key match nothing
-    and are spread too.  The left side is read twice (once for its keys only).
+    and are spread too.  The left side is read twice (once for its keys only): pass a
+    stored table if it is costly.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"cannot split the left side of a {how!r} join")

@@ -39,18 +39,32 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(list_paths(spark, path))
 
 
+_STAGED: list[str] = []
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Run ``df`` once, keep it as a table in the shared folder, read it back.
 
     Used where a costly result is read twice: lost executors then cost a re-read
-    and not a second run of user scripts.
+    and not a second run of user scripts.  ``clear_staged`` deletes what is no
+    longer needed.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_staged(spark: SparkSession) -> int:
+    """Delete the tables this process staged, after their last reader is done."""
+    deleted = 0
+    while _STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        deleted += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return deleted
+
+
 def materialise(df: DataFrame, path: str) -> DataFrame:
     """Reuse the finished table at ``path``, or write it there first.
 

@@ -28,6 +28,18 @@ def test_hot_key_is_split(spark, skewed):
     assert len(fan_out) < 12
 
 
+def test_keys_are_counted_once(spark, skewed, tmp_path):
+    skewed.write.parquet(str(tmp_path / "left"))
+    left = spark.read.parquet(str(tmp_path / "left"))
+    joined = skew_join(left, spark.range(30).withColumnRenamed("id", "k"), ["k"], "left", ["id"])
+    joined.count()
+    joined.collect()
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan or "ReusedSubquery" in plan, plan
+    assert final.count("partial_count") <= 1, plan
+
+
 def test_full_join_is_refused(skewed):
     with pytest.raises(ValueError):
         skew_join(skewed, skewed, ["k"], "outer", ["id"])

@@ -21,7 +21,10 @@ def test_materialise_reuses_only_finished_tables(spark, tmp_path):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert storage.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
-    assert storage.stage(spark.range(5), "five").count() == 5
+    five = storage.stage(spark.range(5), "five")
+    assert five.count() == 5
+    assert storage.clear_staged(spark) >= 1
+    assert not any(storage.path_exists(spark, f) for f in five.inputFiles())
 
 
 def test_module_map(spark, tmp_path):
