@@ -59,7 +59,7 @@ class Profiler:
         keys, owner = [], []
         for k, text in enumerate(texts):
             words = _LETTERS.findall(text.lower())
-            if not words:
+            if not any(c.isalpha() for word in words for c in word):  # such as a lone superscript
                 continue
             codes = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
             keys.append(codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:])
