@@ -1,0 +1,99 @@
+"""Fixed texts as the checking SQL expects them.
+
+On purpose not imported from the engine: a slip in either copy fails the comparison.
+"""
+
+# --- prompts -----------------------------------------------------------------
+
+COMPLETE_FUNCTION_PREFIX = (
+    "You are given the beginning of a Python function below. "
+    "Please complete the function.\n\n```python"
+)
+
+CODING_INSTRUCTIONS = """\
+When writing your code, use only standard Python with no external libraries or
+built-in modules except for `asyncio.gather`, `dataclasses`, `datetime`, `json`, `math`, `os`, `re`, `sys`, or `typing` if needed.
+
+Name the function `{function_name}`.
+
+Provide your answer in a Python code block like this:
+```python
+# Your code here
+```"""
+
+# --- test scripts (each prints its outcome as JSON on the last line) ----------
+
+PASS_FAIL_SCRIPT = """\
+# Task ID: {task_id}
+import json
+
+{solution}
+
+{test_cases}
+
+try:
+    check({entry_point})
+    print(json.dumps({"passed": True}))
+except AssertionError:
+    print(json.dumps({"passed": False}))"""
+
+RESULT_LIST_SCRIPT = """\
+# Task ID: {task_id}
+import json
+
+{solution}
+
+{test_cases}
+
+print(json.dumps(__test_results))"""
+
+SHORT_TEST_SCRIPT = """\
+# Task ID: {task_id}
+import json
+{other_imports}
+
+{solution}
+
+results = {test_cases}
+print(json.dumps(results))"""
+
+TRAINING_TEST_SCRIPT = """
+import json
+results = {test_cases}
+print(json.dumps(results))"""
+
+# --- rewriting an asserting test into a result-collecting one -----------------
+# (find, replace) applied in this order; the last one is a pattern.
+
+CHECK_BY_TRUTH_BEFORE = """
+def assertion(out, exp, atol):
+    if isinstance(out, bool):
+        exact_match = out == exp
+    else:
+        exact_match = exp == (out is not None)
+"""
+CHECK_BY_TRUTH_AFTER = """
+def __check(out, exp, atol):
+    if isinstance(out, bool):
+        exact_match = out == exp
+    else:
+        exact_match = exp == (out is not None)
+    return exact_match
+"""
+TEST_REWRITES = [
+    (CHECK_BY_TRUTH_BEFORE, CHECK_BY_TRUTH_AFTER),
+    ("def assertion(out, exp, atol):", "def __check(out, exp, atol):"),
+    (
+        "assert np.allclose(out, exp, rtol=1e-07, atol=atol)",
+        "return np.allclose(out, exp, rtol=1e-07, atol=atol)",
+    ),
+    ('assert out == exp, f"out: {out}, exp: {exp}"', "return out == exp"),
+    (
+        "for i, inp in enumerate(inputs):",
+        "__test_results = []\nfor i, inp in enumerate(inputs):",
+    ),
+    (
+        "for i, (inp, exp) in enumerate(zip(inputs, results)):",
+        "__test_results = []\nfor i, (inp, exp) in enumerate(zip(inputs, results)):",
+    ),
+]

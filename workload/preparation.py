@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from codegauge import fixed_values as V
 from codegauge.functions import scripts as S
 from codegauge.operators import prepare
+from workload import expected_texts as E
 from workload.views import table, view, with_views
 
 
@@ -161,14 +162,14 @@ def filled(template: str, **values: str) -> str:
     return sql
 
 
-INSTRUCTIONS = filled(V.CODING_INSTRUCTIONS, function_name="coalesce(name, 'None')")
-TRUTH_TEST = f"""concat('import re', {quoted(V.CHECK_BY_TRUTH_BEFORE)},
+INSTRUCTIONS = filled(E.CODING_INSTRUCTIONS, function_name="coalesce(name, 'None')")
+TRUTH_TEST = f"""concat('import re', {quoted(E.CHECK_BY_TRUTH_BEFORE)},
   {quoted(chr(10).join(["    assert exact_match", "for i, inp in enumerate(inputs):", "    assertion(fn_"]))},
   task_id, '(*inp), ref(*inp), 0)')"""
 
 
 def _rewritten(test: str) -> str:
-    for find, replacement in V.TEST_REWRITES:
+    for find, replacement in E.TEST_REWRITES:
         test = f"replace({test}, {quoted(find)}, {quoted(replacement)})"
     return f"regexp_replace({test}, 'assertion\\((.*)\\)', '__test_results.append(__check(\\1))', 'g')"
 
@@ -186,8 +187,8 @@ PREPARED_B = f"""
   SELECT *, nullif(regexp_extract(test, 'assertion\\((\\w+)\\(', 1), '') AS name, {_rewritten('test')} AS rewritten FROM raw_b
 ), prepared AS (
   SELECT *,
-    {filled(V.RESULT_LIST_SCRIPT, task_id="task_id", test_cases="rewritten")} AS script,
-    {filled(V.SHORT_TEST_SCRIPT, task_id="task_id", other_imports="imports", test_cases="short_test_list")} AS short_script
+    {filled(E.RESULT_LIST_SCRIPT, task_id="task_id", test_cases="rewritten")} AS script,
+    {filled(E.SHORT_TEST_SCRIPT, task_id="task_id", other_imports="imports", test_cases="short_test_list")} AS short_script
   FROM named
 )"""
 RAW_A = """
@@ -198,13 +199,13 @@ raw_a AS (
   FROM fx_tasks
 )"""
 REPAIRED = "replace(test, '_poly(*candidate(*inp), inp)', '_poly(*inp, candidate(*inp))')"
-SCRIPT_A = filled(V.PASS_FAIL_SCRIPT, task_id="task_id", entry_point="entry_point", test_cases="fixed")
+SCRIPT_A = filled(E.PASS_FAIL_SCRIPT, task_id="task_id", entry_point="entry_point", test_cases="fixed")
 
 ORACLES = {
     "prompt_build": with_views(
         ["fx_tasks"],
         f"""+ named AS (SELECT *, CASE WHEN item_id % 5 <> 0 THEN entry_point END AS name FROM fx_tasks)
-        SELECT task_id, concat({quoted(V.COMPLETE_FUNCTION_PREFIX)}, chr(10), prompt) AS complete_text,
+        SELECT task_id, concat({quoted(E.COMPLETE_FUNCTION_PREFIX)}, chr(10), prompt) AS complete_text,
           concat(prompt, chr(10), chr(10), {INSTRUCTIONS}) AS instruct_text, 'user' AS role FROM named""",
     ),
     "entry_point": with_views(
@@ -223,7 +224,7 @@ ORACLES = {
           SELECT *, CASE WHEN task_id = 'HumanEval/32' THEN {REPAIRED} ELSE test END AS fixed FROM raw_a
           WHERE task_id <> 'HumanEval/7'
         ), scripts AS (SELECT *, {SCRIPT_A} AS script FROM repaired)
-        SELECT task_id, concat({quoted(V.COMPLETE_FUNCTION_PREFIX)}, chr(10), prompt) AS prompt, entry_point, script AS test,
+        SELECT task_id, concat({quoted(E.COMPLETE_FUNCTION_PREFIX)}, chr(10), prompt) AS prompt, entry_point, script AS test,
           replace(script, '{{solution}}', concat(prompt, canonical_solution)) AS test_solution, canonical_solution
         FROM scripts""",
     ),
@@ -250,7 +251,7 @@ ORACLES = {
             concat('[bool(fn_', CAST(doc_id AS string), '(1) == 1), bool(fn_', CAST(doc_id AS string), '(2) == 2)]') AS cases
           FROM sampled
         ), tests AS (
-          SELECT *, {filled(V.TRAINING_TEST_SCRIPT, test_cases="cases")} AS tests FROM rows)
+          SELECT *, {filled(E.TRAINING_TEST_SCRIPT, test_cases="cases")} AS tests FROM rows)
         SELECT seq_id, md5(concat(text, chr(10), chr(10), {INSTRUCTIONS})) AS prompt_md5, tests,
           concat('def ', name, '(x):', chr(10), '    return x', chr(10), chr(10), tests) AS test_solution
         FROM tests""",
