@@ -181,11 +181,16 @@ def checked_engine(engine: Column) -> Column:
     return F.when(engine.isin(V.ENGINES), engine).otherwise(F.lit("unknown"))
 
 
+#: Bins a bracket around the median is counted in.
+MEDIAN_BINS = 4096
+
+
 def execution_telemetry(executions: DataFrame, accuracy: int = 100_000) -> DataFrame:
     """Count, share, mean, exact median, success rate and throughput per engine.
 
     The median is exact without collecting a group: a mergeable sketch brackets
-    it, then only the distinct values inside the bracket are ranked.  There are
+    it, the bracket is counted in ``MEDIAN_BINS`` bins, and only the distinct values
+    of the bins that hold the middle are ranked.  There are
     as many brackets as engines (three, and ``unknown``), so they are broadcast.
     """
     rows = executions.select(
@@ -201,29 +206,33 @@ def execution_telemetry(executions: DataFrame, accuracy: int = 100_000) -> DataF
         F.try_divide(F.count("duration_sec"), F.sum("duration_sec")).alias("runs_per_sec"),
         sketch.alias("bracket"),
     )
-    bracket = F.broadcast(stats.select("sandbox_type", "bracket", "n_timed"))
-    below = F.col("duration_sec") < F.col("bracket")[0]
-    counted = (
-        rows.join(bracket, "sandbox_type")
-        .where(F.col("duration_sec") <= F.col("bracket")[1])
-        .groupBy(
-            "sandbox_type", "n_timed", F.when(~below, F.col("duration_sec")).alias("value")
-        )
-        .agg(F.count(F.lit(1)).alias("rows"))
+    bracket = stats.select(
+        "sandbox_type", F.col("bracket")[0].alias("low"), F.col("bracket")[1].alias("high"),
+        F.floor((F.col("n_timed") + 1) / 2).alias("lower"), (F.floor(F.col("n_timed") / 2) + 1).alias("upper"),
+    )
+    value = F.col("duration_sec")
+    share = F.try_divide(value - F.col("low"), F.col("high") - F.col("low"))
+    inside = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * MEDIAN_BINS), F.lit(MEDIAN_BINS - 1))
+    binned = rows.where(value.isNotNull()).join(F.broadcast(bracket), "sandbox_type").where(value <= F.col("high")).withColumn(
+        "bin", F.when(value < F.col("low"), -1).otherwise(inside).cast("int")
     )
-    # inside the bracket only: distinct values within 4/accuracy of the rows
-    upto = F.sum("rows").over(
-        Window.partitionBy("sandbox_type")
-        .orderBy(F.col("value").asc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, 0)
+    # at most MEDIAN_BINS + 1 rows for each engine
+    by_bin = Window.partitionBy("sandbox_type").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    bins = binned.groupBy("sandbox_type", "lower", "upper", "bin").agg(F.count(F.lit(1)).alias("in_bin")).withColumn(
+        "upto_bin", F.sum("in_bin").over(by_bin)
     )
-    lower = F.floor((F.col("n_timed") + 1) / 2)
-    upper = F.floor(F.col("n_timed") / 2) + 1
-    at = lambda place: F.min(F.when(F.col("upto") >= place, F.col("value")))
+    holds = lambda place: (F.col(place) > F.col("upto_bin") - F.col("in_bin")) & (F.col(place) <= F.col("upto_bin"))
+    chosen = bins.where(holds("lower") | holds("upper")).select("sandbox_type", "bin", (F.col("upto_bin") - F.col("in_bin")).alias("before"))
+    # the one or two bins that hold the middle: distinct values in a tiny share of the rows
+    counted = binned.join(F.broadcast(chosen), ["sandbox_type", "bin"]).groupBy(
+        "sandbox_type", "lower", "upper", "bin", "before", value.alias("value")
+    ).agg(F.count(F.lit(1)).alias("rows"))
+    by_value = Window.partitionBy("sandbox_type", "bin").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    at = lambda place: F.min(F.when(F.col("upto") >= F.col(place), F.col("value")))
     medians = (
-        counted.withColumn("upto", upto)
+        counted.withColumn("upto", F.col("before") + F.sum("rows").over(by_value))
         .groupBy("sandbox_type")
-        .agg(((at(lower) + at(upper)) / 2).alias("median_sec"))
+        .agg(((at("lower") + at("upper")) / 2).alias("median_sec"))
     )
     everything = Window.partitionBy()  # four rows at most
     return stats.join(F.broadcast(medians), "sandbox_type", "left").select(
