@@ -329,7 +329,9 @@ def decode(ids: Column, vocabulary: str) -> Column:
     @F.arrow_udf(T.StringType())
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         token = Merger(vocabulary).bytes_of
-        for batch in batches:
-            yield pa.array([None if x is None else b"".join(map(token.__getitem__, x)).decode("utf-8", "replace") for x in batch.to_pylist()], pa.string())
+        join = lambda x: None if x is None else b"".join(map(token.__getitem__, x)).decode("utf-8", "replace")
+        for batch in batches:  # few rows at once: ids are large as Python objects
+            parts = [batch.slice(first, ROWS) for first in range(0, max(1, len(batch)), ROWS)]
+            yield pa.concat_arrays([pa.array([join(x) for x in part.to_pylist()], pa.string()) for part in parts])
 
     return text(ids)
