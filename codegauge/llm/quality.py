@@ -86,7 +86,9 @@ def add_features(df: DataFrame, text_col: str = "text") -> DataFrame:
         "n_repeat_words": F.when(q("sorted").isNull(), F.lit(0)).otherwise(F.size(F.array_distinct(covered))),
         "n_stop_words": F.size(F.filter("__q_words", lambda w: F.lower(w).isin(*STOP_WORDS))),
     }
-    df = df.withColumns({f"__q_{k}": v.cast("long") for k, v in features.items()})
+    # a verdict needs the row number too (see ``judge``), so filters on it stay above this
+    # projection; below it Spark would write the features out once for each of their uses
+    df = df.withColumns({f"__q_{k}": v.cast("long") for k, v in features.items()} | {"__q_row": F.monotonically_increasing_id()})
     df = df.drop("__q_words", "__q_windows", "__q_lines", "__q_sorted")
     return df.withColumns({
         "__q_mean_word_chars": _ratio("__q_word_chars", "__q_n_words"),
@@ -116,7 +118,8 @@ def base_failed() -> Column:
 def judge(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The input's columns, the features, ``__q_base_failed``, ``__q_failed_rules`` and ``__q_kept``."""
     df = add_features(df, text_col).withColumns({"__q_base_failed": base_failed(), "__q_failed_rules": failed_rules(rules)})
-    return df.withColumn("__q_kept", ~F.col("__q_base_failed") & (F.col("__q_failed_rules") == ""))
+    kept = ~F.col("__q_base_failed") & (F.col("__q_failed_rules") == "") & (F.col("__q_row") >= 0)
+    return df.withColumn("__q_kept", kept)
 
 
 def keep_good(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
