@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codegauge.llm.tokens import ChunkEncoder, encoded
+from codegauge.llm.tokens import encoded, worker_encoder
 from codegauge.storage import stage
 
 #: Pieces packed together; bounds a group's memory and its time.
@@ -88,7 +88,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, blanks: str, id_col: str =
     ids_field = ", ids array<int>" if with_ids else ""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer_path, blanks)
+        encoder = worker_encoder(tokenizer_path, blanks)
         for batch, offsets, ids in encoded(batches, 1, encoder, end_id):
             counts = -(-np.diff(offsets) // max_tokens)
             row = np.repeat(np.arange(batch.num_rows), counts)

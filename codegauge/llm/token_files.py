@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codegauge.llm.tokens import ChunkEncoder, encoded
+from codegauge.llm.tokens import encoded, worker_encoder
 
 INDEX_ROWS = 1_000
 OPTIONS = {
@@ -53,7 +53,7 @@ def write(df: DataFrame, path: str, tokenizer_path: str, blanks: str = "kept", i
     id_type = df.select(id_col).schema[0].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, before = ChunkEncoder(tokenizer_path, blanks), TaskContext.get().partitionId(), 0
+        encoder, part, before = worker_encoder(tokenizer_path, blanks), TaskContext.get().partitionId(), 0
         for batch, offsets, ids in encoded(batches, 1, encoder, end_id):
             yield _add_part(batch, part, before + offsets[:-1], offsets, ids)
             before += len(ids)

@@ -1,8 +1,8 @@
 """Token ids of whole texts by the tokenizers library, one call per different chunk.
 
-A text is cut where no token can span: at single blanks.  Each different chunk of a
-task is encoded once by the library and its ids are gathered for every place it stands
-at.  Texts in which a cut could change ids (blanks next to white space, special tokens)
+A text is cut where no token can span: at single blanks.  Each different chunk is
+encoded once by the library in a worker's life, or until it remembers too many, and its
+ids are gathered for every place it stands at.  Texts in which a cut could change ids (blanks next to white space, special tokens)
 go to the library whole.
 """
 
@@ -20,8 +20,14 @@ import pyarrow as pa
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNSAFE = re.compile(f" (?:[{WHITE}]|\\Z)")
 
-#: Different chunks a task remembers before it starts afresh; bounds its memory.
-MAX_CHUNKS = 400_000
+# Chunks that may share one call, see ``_joined``: no white space inside, or Latin letters.
+_INNER_WHITE = re.compile(f"[{WHITE}]")
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?")
+#: Chunks per call.
+JOINED = 512
+
+#: Different chunks a worker remembers before it starts afresh; bounds its memory.
+MAX_CHUNKS = 800_000
 #: Rows whose ids are gathered at once.
 ROWS = 512
 
@@ -51,6 +57,12 @@ class ChunkEncoder:
         self.kept = blanks == "kept"
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.special = [t.content for t in added] if self.kept else []
+        if self.kept:
+            self.line_feed = self._library(["\n"])[0][0]
+        else:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -63,11 +75,54 @@ class ChunkEncoder:
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _joined(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """(lengths, ids) of chunks that are encoded as one text, or None if the ends of
+        the chunks cannot be told apart in its ids.
+
+        With blanks kept a line feed, always a token of its own, goes between chunks.
+        With blanks dropped a blank goes between, and each run of letters and each mark
+        ends in a token that ends a word.
+        """
+        ids = np.array(self._library([("\n" if self.kept else " ").join(chunks)])[0], np.int32)
+        if self.kept:
+            ends = np.flatnonzero(ids == self.line_feed)
+            if len(ends) != len(chunks) - 1:
+                return None
+            lengths = np.diff(np.r_[-1, ends, len(ids)]) - 1
+            return lengths, np.delete(ids, ends)
+        ends = np.flatnonzero(self.ends_word[ids])
+        words = np.cumsum([2 if c[-1] in ".," else 1 for c in chunks])
+        if len(ends) != words[-1]:
+            return None
+        return np.diff(np.r_[-1, ends[words - 1]]), ids
+
     def _learn(self, chunks: list[str]) -> None:
-        plain = [c[1:] if c[:1] == " " else " " + c for c in chunks] if self.kept else chunks
-        found = self._library(plain)
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum()))
+        if self.kept:
+            plain = [c[1:] if c[:1] == " " else " " + c for c in chunks]
+            joinable = [not _INNER_WHITE.search(c, 1) and p != " " for c, p in zip(chunks, plain)]
+        else:
+            plain = chunks
+            joinable = [_LETTERS.fullmatch(c) is not None for c in chunks]
+        alone = [k for k, j in enumerate(joinable) if not j]
+        together = [k for k, j in enumerate(joinable) if j]
+        order, lengths, ids = [], [], []
+        for first in range(0, len(together), JOINED):
+            part = together[first : first + JOINED]
+            found = self._joined([plain[k] for k in part])
+            if found is None:
+                alone += part
+            else:
+                order += part
+                lengths.append(found[0])
+                ids.append(found[1])
+        if alone:
+            found = self._library([plain[k] for k in alone])
+            order += alone
+            lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(chain.from_iterable(found), np.int32, int(lengths[-1].sum())))
+        self._keep([chunks[k] for k in order], np.concatenate(lengths), np.concatenate(ids))
+
+    def _keep(self, chunks: list[str], lengths: np.ndarray, flat: np.ndarray) -> None:
         first, last = len(self.place), len(self.place) + len(chunks)
         while last > len(self.begin):
             self.begin, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length))
@@ -119,6 +174,21 @@ class ChunkEncoder:
         return np.cumsum([0, *map(len, rows)]), np.concatenate(rows) if rows else ids
 
 
+def worker_encoder(path: str, blanks: str) -> ChunkEncoder:
+    """The encoder of this Python worker, with what earlier tasks made it learn.
+
+    Spark reuses workers for many tasks, but this module may reach each task as a copy of
+    its own, so the encoder is kept with the library's module.
+    """
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_chunk_encoders", {})
+    if (path, blanks) not in kept:
+        kept.clear()  # one vocabulary at a time
+        kept[path, blanks] = ChunkEncoder(path, blanks)
+    return kept[path, blanks]
+
+
 def encoded(batches: Iterator[pa.RecordBatch], text_at: int, encoder: ChunkEncoder, end_id: int | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with offsets and ids of their texts, ``end_id`` appended to each."""
     for whole in batches:
