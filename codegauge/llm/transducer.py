@@ -5,8 +5,9 @@ are counted; the most frequent ones, with the ids that exact merging gives them,
 compiled into a minimal acyclic automaton: equal suffixes share states, and the outputs
 along a word's arcs add up to its row in the table of id lists.  The file is sent to
 every executor (``SparkContext.addFile``) and memory-mapped there, so all workers of a
-machine share its pages.  Words that the automaton does not accept are merged pair by
-pair, lowest rank first, exactly as the vocabulary's merge list says.
+machine share its pages.  The lexicon's ids come from merging pair by pair, lowest rank
+first, as the vocabulary's merge list says; words that the automaton does not accept are
+merged by the tokenizers library, many in one call, with equal results and faster.
 
 Defined results: a null text counts as empty and has no ids; null ids decode to null;
 bytes that are no UTF-8 decode to U+FFFD; equal texts get equal ids whatever the lexicon
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codegauge.llm.tokens import MAX_CHUNKS, ROWS, WHITE
+from codegauge.llm.tokens import ROWS, WHITE, ChunkEncoder, worker_encoder
 from codegauge.storage import stage
 
 #: Most words a lexicon holds, and how often a word must stand in the corpus for it.
@@ -41,6 +42,8 @@ LEXICON_WORDS = 1 << 16
 MIN_COUNT = 4
 #: Words counted by a task before it passes its counts on.
 COUNTED = 300_000
+#: Different words a task remembers the ids of.
+KNOWN = 400_000
 _UNSAFE = re.compile(f" (?:[{WHITE}]|\\Z)")
 
 
@@ -278,23 +281,26 @@ def build_lexicon(df: DataFrame, vocabulary: str, text_col: str = "text", most:
 
 
 class WordEncoder:
-    """Ids of whole texts: lexicon first, exact merging for the rest."""
+    """Ids of whole texts: lexicon first, exact merging by the library for the rest."""
 
-    def __init__(self, merger: Merger, arrays: dict[str, np.ndarray]):
-        self.merger, self.arrays = merger, arrays
+    def __init__(self, rest: ChunkEncoder, arrays: dict[str, np.ndarray]):
+        self.rest, self.arrays = rest, arrays
+        self.special = dict.fromkeys(rest.special)
         self.known: dict[str, list[int]] = {}  # words of this task, forgotten when many
 
     def _learn(self, words: list[str]) -> None:
         rows = look_up(self.arrays, [w.encode("utf-8", "surrogatepass") for w in words])
         begin, ids = self.arrays["begin"], self.arrays["ids"]
-        for word, row in zip(words, rows.tolist()):
-            self.known[word] = ids[begin[row] : begin[row + 1]].tolist() if row >= 0 else self.merger.ids(word)
+        unseen = [word for word, row in zip(words, rows.tolist()) if row < 0]
+        offsets, merged = self.rest.encode(unseen)
+        self.known.update((w, merged[a:b].tolist()) for w, a, b in zip(unseen, offsets, offsets[1:]))
+        self.known.update((w, ids[begin[r] : begin[r + 1]].tolist()) for w, r in zip(words, rows.tolist()) if r >= 0)
 
     def encode(self, texts: list[str | None]) -> tuple[list[int], list[int]]:
         """(offsets, ids) of the texts."""
         offsets, out = [0], []
-        parts = [None if not t or spans_words(t, self.merger.special) else words_of(t) for t in texts]
-        if len(self.known) > MAX_CHUNKS:
+        parts = [None if not t or spans_words(t, self.special) else words_of(t) for t in texts]
+        if len(self.known) > KNOWN:
             self.known = {}
         self._learn([w for w in dict.fromkeys(chain.from_iterable(p for p in parts if p)) if w not in self.known])
         for text, words in zip(texts, parts):
@@ -302,7 +308,7 @@ class WordEncoder:
                 for ids in map(self.known.__getitem__, words):
                     out += ids
             elif text:
-                out += self.merger.ids(text)
+                out += self.rest.encode([text])[1].tolist()
             offsets.append(len(out))
         return offsets, out
 
@@ -312,7 +318,7 @@ def encode(text: Column, lexicon: Lexicon) -> Column:
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = WordEncoder(Merger(lexicon.vocabulary), load(SparkFiles.get(lexicon.file_name)))
+        encoder = WordEncoder(worker_encoder(lexicon.vocabulary, "kept"), load(SparkFiles.get(lexicon.file_name)))
         for batch in batches:
             parts = []
             for first in range(0, max(1, len(batch)), ROWS):
