@@ -210,11 +210,12 @@ def _moves(both: DataFrame, salt: int) -> DataFrame:
     return first.select(F.col("a").alias("fp"), F.least("first", order("a"))["n"].alias("to"))
 
 
-def group(ids: DataFrame) -> DataFrame:
+def group(ids: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """Rows (id, fp) -> rows (id, fp, root, component_id); ``ids`` is read several times,
-    so it should be a stored table.  ``component_id`` is the smallest id of the group."""
+    so it should be a stored table.  ``component_id`` is the smallest id of the group.
+    ``found`` are the links, those within ``THRESHOLD`` if not given."""
     nodes = ids.groupBy("fp").agg(F.min("id").alias("least_id"))
-    roots = stage(components(links(nodes.select("fp"))), "simhash-roots")
+    roots = stage(components(links(nodes.select("fp")) if found is None else found), "simhash-roots")
     linked = nodes.join(roots, "fp")
     named = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
     linked = roots.join(named, "root").select("fp", "root", "component_id")
@@ -234,7 +235,11 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """One row of each group: that of the smallest id (of rows with one id, the first text)."""
     rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), fingerprint(F.col(text_col)).alias("fp"))
     marked = stage(rows, "simhash-documents")
-    groups = group(marked.select("id", "fp"))
+    return first_rows(marked, group(marked.select("id", "fp")), text_col)
+
+
+def first_rows(marked: DataFrame, groups: DataFrame, text_col: str) -> DataFrame:
+    """Of rows (row, id, fp), one ``row`` of each group."""
     first = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("first_id"), F.col("fp").alias("first_fp"), "root").distinct()
     found = marked.join(first, (F.col("fp") == F.col("first_fp")) & F.col("id").eqNullSafe(F.col("first_id")))
     # few rows: those that carry their group's own id

@@ -1,0 +1,79 @@
+"""The pipeline's near-duplicate stage against brute force over five-word shingles."""
+
+import random
+
+import corpus_pipeline
+import duckdb
+import pytest
+
+from codegauge.llm import quality, similar
+from tests.llm.common import documents
+
+STEP = dict(corpus_pipeline.STAGES)["simhash near-dedup"]
+
+
+def sets(texts):
+    out = {}
+    for d, t in texts.items():
+        w = (t or "").encode().lower().split()
+        out[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    return out
+
+
+def brute_groups(texts):
+    """id -> smallest id reachable, by comparing all pairs."""
+    found, root = sets(texts), {d: d for d in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(texts)
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            x, y = found[a], found[b]
+            if x == y or len(x & y) * 5 >= len(x | y) * 4 > 0:
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    return {d: find(d) for d in ids}
+
+
+def test_stage_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = quality.keep_good(docs)
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    groups = brute_groups(texts)
+    kept = STEP(spark, docs, None)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d in texts if groups[d] == d)
+
+
+def test_pairs_of_the_review_are_linked(spark):
+    ids = (5402, 6173, 1132, 7818, 4092, 7254)
+    texts = dict(duckdb.sql(f"SELECT doc_id, text FROM '/root/testdata/sf0.1/documents.parquet' WHERE doc_id IN {ids}").fetchall())
+    docs = spark.createDataFrame([(d, t) for d, t in texts.items()], "doc_id long, text string")
+    assert sorted(r.doc_id for r in STEP(spark, docs, None).collect()) == [1132, 4092, 5402]
+
+
+@pytest.mark.parametrize("most", [2, 64])
+def test_groups_chains_and_odd_rows(spark, monkeypatch, most):
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(5000)}"
+    texts = [None, "", " \n", "One two", "one  TWO", "one two three four five", "one two three four five six"]
+    for size in (40, 12, 12):
+        chain = [word() for _ in range(150)]
+        for k in range(size):
+            if k % 3:
+                chain = list(chain)
+                chain[rng.randrange(150)] = word()
+            other = list(chain)
+            for _ in range(rng.randint(0, 4)):
+                other[rng.randrange(150)] = word()
+            texts += [" ".join(chain), " ".join(other)]
+    monkeypatch.setattr(similar, "MAX_AT_KEY", most)
+    df = documents(spark, texts)
+    groups = brute_groups(dict(enumerate(texts)))
+    kept = STEP(spark, df.union(df.limit(3)), None)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d in groups if groups[d] == d)
+    assert STEP(spark, df.limit(0), None).count() == 0
