@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegauge.llm import chat, fingerprints, langid, licenses, packing, quality, secrets, simhash, token_files, transducer
+from codegauge.llm import chat, fingerprints, langid, licenses, packing, quality, secrets, simhash, suffix_dedup, token_files, transducer
 from codegauge.storage import new_path
 
 
@@ -153,5 +153,10 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_versions(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op5_document_fingerprints": op5_document_fingerprints, "op10_license_scans": op10_license_scans, "op4_chat_formatting": op4_chat_formatting, "op8_token_id_orc": op8_token_id_orc, "op3_bpe_transducer": op3_bpe_transducer, "op1_language_id": op1_language_id, "op6_best_fit_packing": op6_best_fit_packing, "op2_secret_scans": op2_secret_scans, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op7_quality_rules": op7_quality_rules}
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 50-byte strings of earlier ones."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op11_suffix_array_dedup": op11_suffix_array_dedup, "op5_document_fingerprints": op5_document_fingerprints, "op10_license_scans": op10_license_scans, "op4_chat_formatting": op4_chat_formatting, "op8_token_id_orc": op8_token_id_orc, "op3_bpe_transducer": op3_bpe_transducer, "op1_language_id": op1_language_id, "op6_best_fit_packing": op6_best_fit_packing, "op2_secret_scans": op2_secret_scans, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op7_quality_rules": op7_quality_rules}
 ORACLES = {"op4_chat_formatting": OP4_SQL, "op7_quality_rules": OP7_SQL}
