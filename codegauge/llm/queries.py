@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegauge.llm import chat, fingerprints, langid, licenses, packing, quality, secrets, simhash, suffix_dedup, token_files, transducer
+from codegauge.llm import chat, conversation_repair, divergence, fingerprints, langid, licenses, packing, quality, secrets, simhash, suffix_dedup, token_files, transducer
 from codegauge.storage import new_path
 
 
@@ -158,5 +158,47 @@ def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op11_suffix_array_dedup": op11_suffix_array_dedup, "op5_document_fingerprints": op5_document_fingerprints, "op10_license_scans": op10_license_scans, "op4_chat_formatting": op4_chat_formatting, "op8_token_id_orc": op8_token_id_orc, "op3_bpe_transducer": op3_bpe_transducer, "op1_language_id": op1_language_id, "op6_best_fit_packing": op6_best_fit_packing, "op2_secret_scans": op2_secret_scans, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op7_quality_rules": op7_quality_rules}
-ORACLES = {"op4_chat_formatting": OP4_SQL, "op7_quality_rules": OP7_SQL}
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair of every damaged conversation."""
+    given = table(spark, sf_dir, "conversations")
+    told, parts = conversation_repair.repair(conversation_repair.damage(given))
+    found = told.join(conversation_repair.digests(parts).withColumnRenamed("conv", "c"), F.col("conv").eqNullSafe(F.col("c")), "left")
+    found = given.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return found.select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language lie apart, and the terms each favours."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT coalesce(text, '') AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+n AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT g.lang, g.source, coalesce(v.v, 0) AS v, coalesce(sum(n.n), 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN n USING (lang, source) LEFT JOIN v USING (lang) GROUP BY g.lang, g.source, v.v),
+p AS (SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n.n, 0) + 2)) // (g.total + 2 * g.v) AS p
+  FROM g JOIN kept k USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(p.n) + 2)) // (t.total + 2 * t.v) AS q
+  FROM p JOIN (SELECT lang, v, sum(total) AS total FROM g GROUP BY lang, v) t USING (lang) GROUP BY lang, term, t.total, t.v),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) s
+  ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+term AS (SELECT lang, source, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+every AS (SELECT lang, source, 'pair' AS part, item, value FROM pair UNION ALL SELECT lang, source, 'term', item, value FROM term),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM every)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+QUERIES = {"op12_conversation_repair": op12_conversation_repair, "op13_source_divergence": op13_source_divergence, "op11_suffix_array_dedup": op11_suffix_array_dedup, "op5_document_fingerprints": op5_document_fingerprints, "op10_license_scans": op10_license_scans, "op4_chat_formatting": op4_chat_formatting, "op8_token_id_orc": op8_token_id_orc, "op3_bpe_transducer": op3_bpe_transducer, "op1_language_id": op1_language_id, "op6_best_fit_packing": op6_best_fit_packing, "op2_secret_scans": op2_secret_scans, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op7_quality_rules": op7_quality_rules}
+ORACLES = {"op13_source_divergence": OP13_SQL, "op4_chat_formatting": OP4_SQL, "op7_quality_rules": OP7_SQL}
