@@ -56,11 +56,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_staged(spark: SparkSession) -> int:
-    """Delete the tables this process staged, after their last reader is done."""
+def staged_paths() -> list[str]:
+    """Tables this process staged and has not deleted, oldest first."""
+    return list(_STAGED)
+
+
+def clear_staged(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete staged tables (all, or those named), after their last reader is done."""
     deleted = 0
-    while _STAGED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+    for name in staged_paths() if paths is None else paths:
+        if name in _STAGED:
+            _STAGED.remove(name)
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         deleted += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return deleted
 
