@@ -38,7 +38,7 @@ class Rule:
 
 
 RULES = (
-    Rule("length", "n_words", 50, 100_000),
+    Rule("length", "n_words", 50, None),
     Rule("word_length", "mean_word_chars", 2.0, 15.0),
     Rule("symbols", "symbol_ratio", None, 0.10),
     Rule("stop_words", "stop_word_ratio", 0.04, None),

@@ -42,7 +42,7 @@ f AS (
   FROM d LEFT JOIN cov USING (r)),
 g AS (
   SELECT *, concat_ws(',',
-    CASE WHEN n_words < 50 OR n_words > 100000 THEN 'length' END,
+    CASE WHEN n_words < 50 THEN 'length' END,
     CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words OR n_words = 0 THEN 'word_length' END,
     CASE WHEN n_words > 0 AND n_symbols / n_words > 0.10 THEN 'symbols' END,
     CASE WHEN n_words = 0 OR n_stop / n_words < 0.04 THEN 'stop_words' END,

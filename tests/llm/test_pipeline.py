@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from codegauge import storage
 from codegauge.llm import langid, quality, secrets, tokens
 from tests.llm.common import documents, save
 from tests.llm.test_packing import check_packing
@@ -21,7 +22,7 @@ SF = "/root/testdata/sf0.01"
 def plain_good(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     n = len(words)
-    if n < 50 or n > 100_000:
+    if n < 50:
         return False
     seen = Counter(zip(words, words[1:], words[2:]))
     covered = {i + k for i in range(n - 2) if seen[tuple(words[i : i + 3])] > 1 for k in range(3)}
@@ -92,3 +93,19 @@ def test_odd_documents(spark, tmp_path):
     library = tokens.load(public_tokenizers.path("word_bpe_49k.json"))
     assert [r.length for r in rows] == [len(library.encode(good, add_special_tokens=False).ids) + 1]
     assert corpus_pipeline.run(spark, save(df.limit(0), tmp_path)).count() == 0
+
+
+def test_nothing_is_left_but_the_result(spark):
+    before = set(storage.staged_paths())
+    result = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert set(storage.staged_paths()) == before
+    left = storage.list_paths(spark, f"{storage.shared_folder(spark)}/pipeline-*")
+    assert sum("best-fit-packing" in path for path in left) >= 1 and result.count() > 0
+    assert storage.list_paths(spark, f"{storage.shared_folder(spark)}/pipeline-simhash-near-dedup-*") == []
+
+
+def test_a_long_clean_text_stays(spark):
+    words = ["the", "of", "and", *(f"word{chr(97 + a)}{chr(97 + b)}{chr(97 + c)}" for a in range(26) for b in range(26) for c in range(26))]
+    text = " ".join(words[k % 3] if k % 8 == 0 else words[3 + (k * k * 7 + k // 13) % (len(words) - 3)] for k in range(102_000))
+    docs = documents(spark, [text])
+    assert corpus_pipeline.STAGES[0][1](spark, docs, SF).count() == 1
