@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codegauge import storage
+from codegauge.sources import result_source
 from codegauge.sources import results as R
 from codegauge.sources import support, tables
-from codegauge.streaming import scoring
+from codegauge.streaming import resume, scoring
 from workload.sqltext import PARSED
 from workload.views import VIEWS, table, view, with_views
 
@@ -59,6 +60,60 @@ def latest_run_stored(spark, sf_dir):
     return R.read_latest_run(spark, path, "model_1").select("completion", "run_ts", "task_id", "token_count")
 
 
+def result_source_pushdown(spark, sf_dir):
+    """Results committed to a store in two steps; only the files of some runs are read."""
+    path = storage.new_path(spark, "store")
+    rows = _stored_results(spark, sf_dir)
+    result_source.append_to_store(rows.where("token_count > 50"), path)
+    result_source.append_to_store(rows.where("NOT coalesce(token_count > 50, false)"), path)
+    some = result_source.read_store(spark, path, "model_1", run_from="2024-01-10").where("token_count > 20")
+    return some.select("completion", "model_name", "run_ts", "task_id", "token_count", "error_message", F.col("prompt")[0]["content"].alias("prompt"))
+
+
+def result_source_latest(spark, sf_dir):
+    """Each model's newest run, chosen from the commits alone."""
+    path = storage.new_path(spark, "store")
+    result_source.append_to_store(_stored_results(spark, sf_dir), path)
+    return result_source.read_store(spark, path, latest=True).select("model_id", "run_ts", "completion", "token_count")
+
+
+def result_source_stream(spark, sf_dir):
+    """A stream follows a store: results as they are committed."""
+    path = storage.new_path(spark, "store")
+    rows = _stored_results(spark, sf_dir)
+    result_source.append_to_store(rows.where("passed"), path)
+    stream = result_source.read_store_stream(spark, path).select("model_id", "run_ts", "completion")
+    out, checkpoint = storage.new_path(spark, "followed"), storage.new_path(spark, "followed-state")
+    scoring.append_to(stream, out, checkpoint, "followed").awaitTermination()
+    result_source.append_to_store(rows.where("NOT passed"), path)
+    scoring.append_to(stream, out, checkpoint, "followed").awaitTermination()
+    return spark.read.parquet(out)
+
+
+def stream_resume_state(spark, sf_dir):
+    """Results streamed into a store that holds a third of the tasks already.
+
+    Rows arrive in four micro-batches: by time, but some a batch late, some twice.
+    """
+    results = view(spark, sf_dir, "fx_task_results").withColumn("result_ts", F.col("result_ts").cast("timestamp"))
+    results = results.withColumn("run_ts", F.date_format("result_ts", "yyyy-MM-dd"))
+    path, folder = storage.new_path(spark, "store"), storage.new_path(spark, "arriving")
+    columns = [F.col(f.name).cast(f.dataType) if f.name in results.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in R.STORED_RESULT]
+    result_source.append_to_store(results.where("task_id % 3 = 0").select(*columns), path)
+    batch = F.least(F.floor((F.dayofmonth("result_ts") - 1) / 7), F.lit(3)).cast("int")
+    # the rows of a week's last days may come with the next week, some rows come again
+    late = F.when((F.col("result_id") % 5 == 0) & (F.dayofmonth("result_ts") % 7 == 0), 1).otherwise(0)
+    again = F.when(F.col("result_id") % 11 == 0, F.array(batch, batch + 1)).otherwise(F.array(batch + late))
+    rows = results.withColumn("batch", F.explode(again)).withColumn("batch", F.least("batch", F.lit(3)))
+    rows.repartition(1, "batch").write.partitionBy("batch").json(folder)
+    arriving = spark.readStream.schema(results.schema).option("maxFilesPerTrigger", 1).json(f"{folder}/batch=*")
+    columns = arriving.withColumn("completion", F.col("result_id").cast("string"))
+    query = resume.resume_into_store(columns, path, storage.new_path(spark, "resume-state"), "resume", "result_ts", "result_id", "8 days")
+    query.awaitTermination()
+    stored = result_source.read_store(spark, path)
+    return stored.where("completion IS NOT NULL").select("model_id", "dataset_name", "task_id", "completion", "run_ts", "token_count", "passed")
+
+
 def prepared_reuse(spark, sf_dir):
     """A prepared training table is written once and then reused."""
     docs = table(spark, sf_dir, "documents")
@@ -183,6 +238,7 @@ QUERIES = {
     for f in (
         results_round_trip, missing_results, latest_run_stored, prepared_reuse, generations_read,
         file_kinds, log_telemetry, stream_score, stream_first_per_task, stream_windows,
+        result_source_pushdown, result_source_latest, result_source_stream, stream_resume_state,
     )
 }
 
@@ -203,6 +259,33 @@ ORACLES = {
         SELECT CAST(result_id AS string) AS completion, run_ts, task_id, token_count FROM runs
         WHERE run_ts = (SELECT max(run_ts) FROM runs)""",
     ),
+    "result_source_pushdown": with_views(
+        ["fx_task_results"],
+        """SELECT CAST(result_id AS string) AS completion, concat('org/', model_id) AS model_name, strftime(result_ts, '%Y-%m-%d') AS run_ts,
+          task_id, token_count, CASE WHEN NOT passed THEN concat('Sandbox failed: "x"', chr(10), 'line') END AS error_message,
+          concat('task ', task_id) AS prompt
+        FROM fx_task_results WHERE model_id = 'model_1' AND strftime(result_ts, '%Y-%m-%d') >= '2024-01-10' AND token_count > 20""",
+    ),
+    "result_source_latest": with_views(
+        ["fx_task_results"],
+        """+ runs AS (SELECT *, strftime(result_ts, '%Y-%m-%d') AS run_ts FROM fx_task_results)
+        SELECT model_id, run_ts, CAST(result_id AS string) AS completion, token_count FROM runs
+        QUALIFY run_ts = max(run_ts) OVER (PARTITION BY model_id)""",
+    ),
+    "result_source_stream": with_views(
+        ["fx_task_results"],
+        "SELECT model_id, strftime(result_ts, '%Y-%m-%d') AS run_ts, CAST(result_id AS string) AS completion FROM fx_task_results",
+    ),
+    "stream_resume_state": with_views(
+        ["fx_task_results"],
+        """+ answered AS (SELECT * FROM fx_task_results WHERE token_count > 0),
+        done AS (SELECT DISTINCT model_id, dataset_name, task_id FROM answered WHERE CAST(task_id AS int) % 3 = 0),
+        firsts AS (SELECT * FROM answered ANTI JOIN done USING (model_id, dataset_name, task_id)
+          QUALIFY row_number() OVER (PARTITION BY model_id, dataset_name, task_id ORDER BY result_ts, result_id) = 1)
+        SELECT model_id, dataset_name, task_id, CAST(result_id AS string) AS completion, strftime(result_ts, '%Y-%m-%d') AS run_ts, token_count, passed
+        FROM firsts WHERE date_trunc('millisecond', result_ts) <=
+          (SELECT date_trunc('millisecond', max(result_ts)) - INTERVAL '8 days' FROM answered)""",
+    ),
     "prepared_reuse": """
         SELECT doc_id AS seq_id, concat(chr(10), 'import json', chr(10), 'results = [bool(f(1) == 1)]', chr(10), 'print(json.dumps(results))') AS tests
         FROM documents""",
