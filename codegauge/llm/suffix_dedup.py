@@ -3,9 +3,11 @@
 Every 50-byte string (window) that also starts in a document with a smaller id goes.
 
 1. *Texts.*  Equal texts are one node with their smallest id: a later copy goes whole.
+   Texts are dealt to chunks of some megabytes by their hash.
 2. *Anchors.*  A window's anchor is the least hash among its 20-byte strings, so equal
    windows have equal anchors and neighbours mostly share one: a run of windows.  Only
-   runs whose anchor stands in two texts or more can hold a repeated window.
+   runs whose anchor stands in two texts or more can hold a repeated window.  Chunks send
+   their anchors as sorted lists, and get back those that others have too.
 3. *Suffix sort.*  The bytes of such runs meet by anchor.  There the suffixes that start
    at their windows are sorted, by their first eight bytes and, where those agree, by a
    mergesort that compares two suffixes through their longest common extension: prefix
@@ -13,11 +15,12 @@ Every 50-byte string (window) that also starts in a document with a smaller id g
    Neighbours in the order are then compared byte by byte; an order that a collision
    of hashes has spoilt is made again from the bytes.
 4. *Spans.*  Neighbours that agree on 50 bytes are one string; whoever is not its
-   smallest id loses the bytes.  Spans go back to their texts, which are cut there.
+   smallest id loses the bytes.  Spans go back to their chunks, where texts are cut.
 
-Texts are shuffled once (the exchange serves three steps).  Equal runs of a task are sent
-once, and an anchor in over ``HOT`` texts is dealt by its windows and not by itself, so
-no common line collects its contexts in one task; what stays together is a narrow list.
+Texts are shuffled once (one exchange serves three steps).  Equal runs of a chunk are sent
+once, and an anchor in over ``HOT`` chunks is dealt by its windows and not by itself, so
+no common line collects its contexts in one task; so is a window that holds its anchor
+twice, as in texts that repeat a few words, and equal runs of a text are one row.
 
 Defined results: a null text counts as empty; texts under 50 bytes keep all; a null id
 counts as larger than any other; rows of one id never remove bytes of each other; repeated
@@ -32,24 +35,28 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codegauge.operators.joins import skew_join
+from codegauge.storage import stage
 
 #: Bytes of a string that is judged, and of the strings among which its anchor is chosen.
 WINDOW = 50
 GRAM = 20
-#: Texts with an anchor from which on it is dealt by its windows.
-HOT = 512
-#: Bytes hashed at once, bytes of a slice of a batch, and bytes of texts whose anchors
-#: are put together before the shuffle.
+#: Chunks with an anchor from which on it is dealt by its windows.
+HOT = 1024
+#: Bytes of a chunk and of a shard of anchors (one anchor per 16 bytes or so).
+CHUNK = 1 << 22
+SHARD = 1 << 25
+#: Bytes hashed at once, bytes of texts taken together, bytes of runs sorted at once (an
+#: anchor's runs are never split).
 BLOCK = 1 << 19
 SLICE = 1 << 22
-CHUNK = 1 << 25
-#: Bytes of runs sorted at once; an anchor's runs are never split.
 SORTED = 1 << 20
 ROWS_OUT = 1 << 16
+#: Bits of an anchor: few enough to be told in short steps, a collision only costs work.
+BITS = 44
 
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
@@ -90,33 +97,40 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> _U(32))
 
 
+def _sliding_least(values: np.ndarray, reach: int) -> np.ndarray:
+    size = 1
+    while 2 * size <= reach:
+        values, size = np.minimum(values[:-size], values[size:]), 2 * size
+    return np.minimum(values[: size - reach], values[reach - size :]) if size < reach else values
+
+
 def anchor_runs(data: np.ndarray, offsets: np.ndarray, hasher: Hasher) -> tuple[np.ndarray, ...]:
-    """(anchor, text, start, windows) of the runs of texts ``data[offsets[k]:offsets[k+1]]``.
+    """(anchor, text, start, windows, again) of the runs of texts ``data[offsets[k]:offsets[k+1]]``.
 
-    Anchors are even.  Texts are hashed block by block, so long ones cost no memory; a
-    run ends where a block does.
+    Anchors have ``BITS`` bits and are even; ``again`` says that the windows hold their
+    anchor's string more than once, as in texts that repeat a few words.  Texts are hashed
+    block by block, so long ones cost no memory; a run ends where a block does.
     """
     found = []
-    reach = WINDOW - GRAM + 1
+    low = _U((1 << 64 - BITS) - 1)
     for first in range(0, max(0, len(data) - WINDOW + 1), BLOCK):
         last = min(first + BLOCK, len(data) - WINDOW + 1)  # windows of this block
-        least = _mixed(hasher.windows(hasher.prefixes(data[first : last + WINDOW - 1]), GRAM))
-        size = 1
-        while 2 * size <= reach:
-            least, size = np.minimum(least[:-size], least[size:]), 2 * size
-        if size < reach:
-            least = np.minimum(least[: size - reach], least[reach - size :])
+        grams = _mixed(hasher.windows(hasher.prefixes(data[first : last + WINDOW - 1]), GRAM)) & ~low
+        at = np.arange(len(grams), dtype=np.uint64)
+        least = _sliding_least(grams | at, WINDOW - GRAM + 1)  # and its first place
+        again = (least & low) != low - (_sliding_least(grams | (low - at), WINDOW - GRAM + 1) & low)
+        least = least >> _U(64 - BITS) & ~_U(1)
         place = np.arange(first, last)
         here = np.arange(*np.searchsorted(offsets, [first, last - 1], "right") + [-1, 0])  # texts of the block
         text = np.repeat(here, np.diff(np.clip(offsets[here[0] : here[-1] + 2], first, last)))
         whole = np.flatnonzero(place + WINDOW <= offsets[text + 1])
         if not len(whole):
             continue
-        least, text, place = least[whole], text[whole], place[whole]
-        begins = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (text[1:] != text[:-1])])
-        found.append((least[begins] & ~_U(1), text[begins], place[begins], np.diff(np.r_[begins, len(least)])))
+        least, text, place, again = least[whole], text[whole], place[whole], again[whole]
+        begins = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (text[1:] != text[:-1]) | (again[1:] != again[:-1])])
+        found.append((least[begins], text[begins], place[begins], np.diff(np.r_[begins, len(least)]), again[begins]))
     if not found:
-        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, bool)
     return tuple(np.concatenate(part) for part in zip(*found))
 
 
@@ -136,36 +150,73 @@ def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch
         first = last
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, text) -> (anchor, hs): the texts of each anchor, put together by chunk."""
+def _anchors(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    """(c, h, id, text) -> (shard, c, first, steps): sorted anchors of a chunk's texts as a
+    first one and the steps between them; odd ones stand in several of the texts."""
     hasher, held, size = Hasher(BLOCK), [], 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        anchor, h = (np.concatenate(part) for part in zip(*held))
-        order = np.lexsort((h, anchor))
-        anchor, h = anchor[order], h[order]
-        fresh = np.r_[True, (anchor[1:] != anchor[:-1]) | (h[1:] != h[:-1])]
-        anchor, h = anchor[fresh], h[fresh]
-        begins = np.r_[np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]), len(anchor)]
-        for first in range(0, len(begins) - 1, ROWS_OUT):
-            part = begins[first : first + ROWS_OUT + 1]
-            lists = pa.ListArray.from_arrays(pa.array(part - part[0], pa.int32()), pa.array(h[part[0] : part[-1]]))
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[part[:-1]].view(np.int64)), lists], ["anchor", "hs"])
+        anchor, h, chunk = (np.concatenate(part) for part in zip(*held))
+        order = np.lexsort((h, anchor, chunk))
+        anchor, h, chunk = anchor[order], h[order], chunk[order]
+        fresh = np.r_[True, (anchor[1:] != anchor[:-1]) | (chunk[1:] != chunk[:-1])]
+        other = np.r_[False, ~fresh[1:] & (h[1:] != h[:-1])]  # the same anchor in another text
+        at = np.flatnonzero(fresh)
+        anchor, chunk = anchor[at] | np.maximum.reduceat(other, at).astype(np.uint64), chunk[at]
+        shard = (anchor >> _U(1)) % _U(shards)
+        order = np.lexsort((anchor, shard, chunk))
+        anchor, chunk, shard = anchor[order], chunk[order], shard[order]
+        begins = np.flatnonzero(np.r_[True, (chunk[1:] != chunk[:-1]) | (shard[1:] != shard[:-1]), True])
+        steps = np.diff(anchor, prepend=anchor[:1])
+        parts = []
+        for a, b in zip(begins, begins[1:]):
+            short = steps[a + 1 : b]
+            parts.append(short.astype("<u4").tobytes() if not len(short) or short.max() < 1 << 32 else b"\0" + short.astype("<u8").tobytes())
+        first = begins[:-1]
+        columns = [pa.array(shard[first].astype(np.int32)), pa.array(chunk[first]), pa.array(anchor[first].astype(np.int64)), pa.array(parts, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["shard", "c", "first", "steps"])
 
     for batch in batches:
-        for rows, data, offsets in _slices(batch, 1):
-            anchor, text, _, _ = anchor_runs(data, offsets, hasher)
+        for rows, data, offsets in _slices(batch, 3):
+            anchor, text, _, _, _ = anchor_runs(data, offsets, hasher)
             if len(anchor):
-                held.append((anchor, rows.column(0).to_numpy()[text]))
+                held.append((anchor, rows.column(1).to_numpy()[text], rows.column(0).to_numpy()[text]))
             size += len(data)
-            if size >= CHUNK:
+            if size >= 8 * CHUNK:
                 yield from flush()
                 held, size = [], 0
     yield from flush()
 
 
+def _steps(first: int, steps: bytes) -> np.ndarray:
+    """Anchors of a list."""
+    wide = len(steps) % 4
+    short = np.frombuffer(steps, "<u8" if wide else "<u4", offset=wide)
+    return np.cumsum(np.r_[_U(first), short.astype(np.uint64)], dtype=np.uint64)
+
+
+def _shared(rows: pa.Table) -> pa.Table:
+    """Lists of a shard -> (c, anchors): of each chunk those that two texts have; odd ones are hot."""
+    lists = [_steps(f, x) for f, x in zip(rows["first"].to_pylist(), rows["steps"].to_pylist())]
+    chunk = np.repeat(rows["c"].to_numpy(), [len(x) for x in lists])
+    anchor = np.concatenate(lists)
+    several, anchor = anchor & _U(1), anchor & ~_U(1)
+    order = np.argsort(anchor, kind="stable")
+    anchor, chunk, several = anchor[order], chunk[order], several[order]
+    at = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+    count = np.diff(np.r_[at, len(anchor)])
+    hot = np.repeat(count > HOT, count)
+    keep = np.repeat((count > 1) | (np.maximum.reduceat(several, at) > 0), count)
+    anchor, chunk = (anchor | hot.astype(np.uint64))[keep], chunk[keep]
+    order = np.lexsort((anchor, chunk))
+    anchor, chunk = anchor[order], chunk[order]
+    at = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]) if len(chunk) else np.zeros(0, np.int64)
+    parts = pa.ListArray.from_arrays(pa.array(np.r_[at, len(anchor)], pa.int32()), pa.array(anchor.astype(np.int64)))
+    return pa.table([pa.array(chunk[at]), parts], ["c", "anchors"])
+
+
 def _cut(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
     """Binary array of stretches."""
     ends = np.cumsum(length)
@@ -183,32 +234,33 @@ def _rank(ids: pa.Array) -> np.ndarray:
     return np.array([len(order) if v is None else order[v] for v in values], np.int64)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, id, text, anchors) -> (key, h, id, start, windows, bytes) of the runs whose
-    anchor is shared.  Of equal runs of a part only the smallest id's are sent; the bytes
+def _runs(texts: pa.Table, lists: pa.Table) -> pa.Table:
+    """A chunk's (c, h, id, text) and shared anchors -> (key, c, h, id, start, windows, bytes,
+    more) of the runs of those anchors, with their further places in the same text.  Of equal runs only the smallest id's are sent; the bytes
     of the others are null, which says that all their windows go."""
-    hasher = Hasher(BLOCK)
-    for batch in batches:
-        for rows, data, offsets in _slices(batch, 2):
-            anchor, text, start, windows = anchor_runs(data, offsets, hasher)
-            lists = rows.column(3)
-            shared = lists.flatten().to_numpy(False).view(np.uint64)  # odd: a hot anchor
-            owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            values, dense = np.unique(shared & ~_U(1), return_inverse=True)
-            if not len(values) or not len(anchor):
+    hasher, out = Hasher(BLOCK), []
+    found = [x.flatten().to_numpy() for x in lists["anchors"].chunks]
+    shared = np.unique(np.concatenate([np.zeros(0, np.int64), *found])).view(np.uint64)
+    for batch in texts.to_batches() if len(shared) else []:
+        for rows, data, offsets in _slices(batch, 3):
+            anchor, text, start, windows, again = anchor_runs(data, offsets, hasher)
+            place = np.minimum(np.searchsorted(shared, anchor), len(shared) - 1)
+            hit = np.flatnonzero(shared[place] & ~_U(1) == anchor)
+            if not len(hit):
                 continue
-            wanted, order = np.unique(owner * len(values) + dense, return_index=True)
-            at = np.minimum(np.searchsorted(values, anchor), len(values) - 1)
-            own = text * len(values) + at
-            place = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
-            hit = np.flatnonzero((values[at] == anchor) & (wanted[place] == own))
-            hot = (shared[order[place[hit]]] & _U(1)) == 1
+            hot = again[hit] | ((shared[place[hit]] & _U(1)) == 1)
             key, text, start, windows = anchor[hit], text[hit], start[hit], windows[hit]
-            rank = _rank(rows.column(1))
+            rank = _rank(rows.column(2))
             sizes = np.cumsum(np.where(hot, windows * WINDOW, windows + WINDOW - 1))
-            for part in np.split(np.arange(len(hit)), np.searchsorted(sizes, np.arange(SLICE, sizes[-1], SLICE)) if len(hit) else []):
+            for part in np.split(np.arange(len(hit)), np.searchsorted(sizes, np.arange(4 * SLICE, sizes[-1], 4 * SLICE))):
                 if len(part):
-                    yield from _sent(rows, data, offsets, rank, hasher, key[part], text[part], start[part], windows[part], hot[part])
+                    out += _sent(rows, data, offsets, rank, hasher, key[part], text[part], start[part], windows[part], hot[part])
+    return pa.Table.from_batches(out, schema=_run_schema(texts.schema.field("id").type))
+
+
+def _run_schema(id_type: pa.DataType) -> pa.Schema:
+    whole = pa.int64()
+    return pa.schema([("key", whole), ("c", pa.int32()), ("h", whole), ("id", id_type), ("start", whole), ("windows", whole), ("bytes", pa.binary()), ("more", pa.list_(pa.int64()))])
 
 
 def _sent(rows, data, offsets, rank, hasher, key, text, start, windows, hot) -> Iterator[pa.RecordBatch]:
@@ -227,16 +279,34 @@ def _sent(rows, data, offsets, rank, hasher, key, text, start, windows, hot) ->
     cut = _cut(data, start, windows + WINDOW - 1)
     code = cut.dictionary_encode().indices.to_numpy()
     rank = rank[text]
-    order = np.lexsort((rank, code, key))
+    order = np.lexsort((start, text, rank, code, key))
     fresh = np.r_[True, (key[order][1:] != key[order][:-1]) | (code[order][1:] != code[order][:-1])]
     least = rank[order][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
     later = np.zeros(len(key), bool)
     later[order] = rank[order] > least
-    h = rows.column(0).to_numpy()[text]
-    spread = np.where(later, _mixed(key + h.view(np.uint64) + start.astype(np.uint64)), key)
-    sent = pc.if_else(pa.array(later), pa.scalar(None, pa.binary()), cut)
-    columns = [pa.array(spread.view(np.int64)), pa.array(h), rows.column(1).take(pa.array(text)), pa.array(start - offsets[text]), pa.array(windows), sent]
-    yield pa.RecordBatch.from_arrays(columns, ["key", "h", "id", "start", "windows", "bytes"])
+    rows = rows.select(["c", "h", "id"])
+    schema = _run_schema(rows.schema.field("id").type)
+
+    def batch(key, text, start, windows, runs, more):
+        c, h, ids = (column.take(pa.array(text)) for column in rows.columns)
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), c, h, ids, pa.array(start - offsets[text]), pa.array(windows), runs, more], schema=schema)
+
+    # equal runs of one text are one row with further places
+    same = ~fresh & np.r_[False, text[order][1:] == text[order][:-1]]
+    sent, same = order[~later[order]], same[~later[order]]
+    begins = np.flatnonzero(~same)
+    some = sent[begins]
+    further = np.r_[0, np.cumsum(np.diff(np.r_[begins, len(sent)]) - 1)]
+    places = (start - offsets[text])[sent[same]]
+    yield batch(key[some], text[some], start[some], windows[some], cut.take(pa.array(some)), pa.ListArray.from_arrays(pa.array(further, pa.int32()), pa.array(places)))
+    # neighbouring runs that go whole are one span
+    some = np.flatnonzero(later)
+    some = some[np.lexsort((start[some], text[some]))]
+    text, start, end = text[some], start[some], start[some] + windows[some]
+    begins = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (start[1:] != end[:-1])]) if len(some) else some
+    windows = end[np.r_[begins[1:] - 1, len(some) - 1]] - start[begins] if len(some) else end
+    text, start = text[begins], start[begins]
+    yield batch(_mixed(start.astype(np.uint64)), text, start, windows, pa.nulls(len(begins), pa.binary()), pa.nulls(len(begins), pa.list_(pa.int64())))
 
 
 class SuffixOrder:
@@ -353,9 +423,9 @@ def covered_spans(key: np.ndarray, rank: np.ndarray, windows: np.ndarray, runs:
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs in order of their keys -> (h, id, start, end) of bytes that go."""
+    """Runs in order of their keys -> (c, h, id, start, end) of bytes that go."""
     hasher = Hasher(1 << 16)
-    names = ["h", "id", "start", "end"]
+    names = ["c", "h", "id", "start", "end"]
     held: list[pa.RecordBatch] = []
     size = 0
 
@@ -371,14 +441,21 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = rows["bytes"].combine_chunks()
         run, a, b = covered_spans(rows["key"].to_numpy(), _rank(ids), rows["windows"].to_numpy(), runs, hasher)
         start = rows["start"].to_numpy()[run]
-        yield pa.RecordBatch.from_arrays([pa.array(rows["h"].to_numpy()[run]), ids.take(pa.array(run)), pa.array(start + a), pa.array(start + b + WINDOW - 1)], names)
+        further = rows["more"].combine_chunks()
+        count = further.value_lengths().to_numpy()[run]
+        if count.any():  # the same spans at the run's other places
+            begin = (further.offsets.to_numpy()[:-1] - further.offsets[0].as_py())[run]
+            at = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
+            start = np.r_[start, further.flatten().to_numpy()[at]]
+            run, a, b = (np.r_[x, np.repeat(x, count)] for x in (run, a, b))
+        yield pa.RecordBatch.from_arrays([pa.array(rows["c"].to_numpy()[run]), pa.array(rows["h"].to_numpy()[run]), ids.take(pa.array(run)), pa.array(start + a), pa.array(start + b + WINDOW - 1)], names)
 
     for batch in batches:
         whole = pc.is_null(batch.column("bytes"))
         known = batch.filter(whole)
         if known.num_rows:
             start = known.column("start").to_numpy()
-            yield pa.RecordBatch.from_arrays([known.column("h"), known.column("id"), known.column("start"), pa.array(start + known.column("windows").to_numpy() + WINDOW - 1)], names)
+            yield pa.RecordBatch.from_arrays([known.column("c"), known.column("h"), known.column("id"), known.column("start"), pa.array(start + known.column("windows").to_numpy() + WINDOW - 1)], names)
         batch = batch.filter(pc.invert(whole))
         if not batch.num_rows:
             continue
@@ -406,20 +483,20 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[begins], ends[np.r_[begins[1:] - 1, len(ends) - 1]]
 
 
-def _results(batches: Iterator[pa.RecordBatch], with_kept: bool) -> Iterator[pa.RecordBatch]:
-    """(h, first, text, spans) -> what is left of each text."""
-    names = ["sha", "first", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_kept]
-    for batch in batches:
-        for rows, data, offsets in _slices(batch, 2):
-            first, spans = rows.column(1).to_pylist(), rows.column(3)
-            parts = spans.flatten()
-            begin = spans.offsets.to_numpy() - spans.offsets[0].as_py()
-            ids = parts.field("id").to_pylist()
-            start, end = parts.field("start").to_numpy(False), parts.field("end").to_numpy(False)
-            out = []
+def _results(texts: pa.Table, spans: pa.Table, with_kept: bool) -> pa.Table:
+    """A chunk's (c, h, id, text) and (c, h, id, start, end) -> what is left of each text."""
+    schema = pa.schema([("sha", pa.string()), ("first", texts.schema.field("id").type), *[(n, pa.int64()) for n in ("n_bytes", "n_removed", "n_spans")], ("kept_sha256", pa.string()), *[("kept", pa.binary())] * with_kept])
+    h, start, end = (spans[c].to_numpy() for c in ("h", "start", "end"))
+    order = np.argsort(h, kind="stable")
+    h, start, end, ids = h[order], start[order], end[order], np.array(spans["id"].to_pylist(), object)[order]
+    out = []
+    for batch in texts.to_batches():
+        for rows, data, offsets in _slices(batch, 3):
+            own, first = rows.column(1).to_numpy(), rows.column(2).to_pylist()
+            begin, stop = np.searchsorted(h, own), np.searchsorted(h, own, "right")
             for k in range(rows.num_rows):
                 text = data[offsets[k] : offsets[k + 1]]
-                mine = [j for j in range(begin[k], begin[k + 1]) if ids[j] == first[k]]
+                mine = [j for j in range(begin[k], stop[k]) if ids[j] == first[k]]
                 sha = kept_sha = hashlib.sha256(text).hexdigest()
                 runs, kept = 0, text
                 if mine:
@@ -430,8 +507,8 @@ def _results(batches: Iterator[pa.RecordBatch], with_kept: bool) -> Iterator[pa.
                     runs, kept = len(a), text[keep]
                     kept_sha = hashlib.sha256(kept).hexdigest()
                 out.append((sha, first[k], len(text), len(text) - len(kept), runs, kept_sha, *[kept.tobytes()] * with_kept))
-            kinds = [pa.string(), batch.schema.field(1).type, pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * with_kept]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+    columns = zip(*out) if out else [[]] * len(schema)
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False) -> DataFrame:
@@ -441,33 +518,31 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marked = docs.withColumn("sha", F.sha2("text", 256))
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    copies = marked.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.max(F.octet_length("text")).cast("long").alias("size"))
+    copies = stage(copies, "suffix-copies")
+    size, rows = copies.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    chunks, shards = max(4 * partitions, size // CHUNK), max(partitions, size // SHARD)
     # texts with more copies than an average partition has rows: fewer than there are partitions
-    copies = marked.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
-    often = copies.where(F.col("n") * partitions > copies.agg(F.sum("n")).scalar()).select("sha", "least", F.lit(True).alias("often"))
+    often = copies.where(F.col("n") * partitions > F.lit(rows)).select("sha", "least", F.lit(True).alias("often"))
     spared = marked.join(F.broadcast(often), "sha", "left").where(F.col("often").isNull() | F.col("id").eqNullSafe(F.col("least")))
-    moved = spared.select(F.xxhash64("text").alias("h"), "id", "text").repartition("h")
-    texts = moved.groupBy("h", "text").agg(F.min("id").alias("id"))
-
-    seen = texts.select("h", "text").mapInArrow(_anchors, "anchor long, hs array<long>")
-    n = F.sum(F.size("hs")).over(Window.partitionBy("anchor"))  # a row for each chunk at most
-    shared = seen.withColumn("n", n).where("n > 1").select(F.explode("hs").alias("h"), (F.col("anchor") + (F.col("n") > HOT).cast("long")).alias("anchor"))
-    shared = shared.groupBy("h").agg(F.collect_list("anchor").alias("anchors"))
-
-    runs = texts.join(shared, "h").select("h", "id", "text", "anchors")
-    runs = runs.mapInArrow(_runs, f"key long, h long, id {id_type}, start long, windows long, bytes binary")
-    spans = runs.repartition("key").sortWithinPartitions("key").mapInArrow(_spans, f"h long, id {id_type}, start long, end long")
-    spans = spans.groupBy("h").agg(F.collect_list(F.struct("id", "start", "end")).alias("spans"))
-
-    cut = texts.join(spans, "h", "left").select("h", F.col("id").alias("first"), "text", F.coalesce("spans", F.array().cast(f"array<struct<id:{id_type},start:bigint,end:bigint>>")).alias("spans"))
+    h = F.xxhash64("text")
+    moved = spared.select(F.pmod(h, F.lit(chunks)).cast("int").alias("c"), h.alias("h"), "id", "text").repartition("c")
+    # all columns wherever it is used: then the exchange is one and the same
+    texts = moved.groupBy("c", "h", "text").agg(F.min("id").alias("id")).select("c", "h", "id", "text")
+
+    lists = texts.mapInArrow(lambda batches: _anchors(batches, shards), "shard int, c int, first long, steps binary")
+    shared = lists.groupBy("shard").applyInArrow(_shared, "c int, anchors array<long>")
+    runs = texts.groupBy("c").cogroup(shared.groupBy("c")).applyInArrow(_runs, f"key long, c int, h long, id {id_type}, start long, windows long, bytes binary, more array<long>")
+    spans = runs.repartition("key").sortWithinPartitions("key").mapInArrow(_spans, f"c int, h long, id {id_type}, start long, end long")
     kept = ", kept binary" if with_kept else ""
-    results = cut.mapInArrow(lambda batches: _results(batches, with_kept), f"sha string, first {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{kept}")
+    cut = lambda a, b: _results(a, b, with_kept)
+    results = texts.groupBy("c").cogroup(spans.groupBy("c")).applyInArrow(cut, f"sha string, first {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{kept}")
 
-    rows = skew_join(marked.select("id", "sha"), results, ["sha"], "inner", ["id"])
+    found = skew_join(marked.select("id", "sha"), results, ["sha"], "inner", ["id"])
     copy = ~F.col("id").eqNullSafe(F.col("first")) & (F.col("n_bytes") >= WINDOW)
-    zero = F.lit(0).cast("long")
-    return rows.select(
+    return found.select(
         "id", "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
-        F.when(copy, zero + 1).otherwise(F.col("n_spans")).alias("n_spans"),
+        F.when(copy, F.lit(1).cast("long")).otherwise(F.col("n_spans")).alias("n_spans"),
         F.when(copy, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
         *[F.when(copy, F.lit(b"")).otherwise(F.col("kept")).alias("kept")] * with_kept,
     )

@@ -83,6 +83,11 @@ def test_long_text_crosses_blocks(spark, monkeypatch):
     assert removed(spark, rows) == wanted(rows)
 
 
+def test_texts_that_repeat_a_few_words(spark):
+    rows = [(k, "ab " * (30 + k) + ("cd" if k % 3 else "") + "xy z " * (20 + k % 5) + f"{k}") for k in range(40)] + [(50, "q" * 500), (51, "q" * 60 + "r"), (52, "ab " * 400)]
+    assert removed(spark, rows) == wanted(rows)
+
+
 def test_a_third_of_all_rows_share_a_text_and_a_line(spark):
     line = "this line stands in every document of the table, again and again\n"
     rows = [(k, "copy " * 30) for k in range(100)] + [(k, f"{k * k} {line} {k * 7}") for k in range(100, 300)]
@@ -130,7 +135,7 @@ def test_equal_windows_share_their_anchor():
     text = "".join(chr(97 + (k * k * 3) % 23) for k in range(500))
     texts = [("pad" * 7 + text).encode(), text[100:].encode(), b"short"]
     offsets = np.cumsum([0, *map(len, texts)])
-    anchor, owner, start, windows = suffix_dedup.anchor_runs(np.frombuffer(b"".join(texts), np.uint8), offsets, suffix_dedup.Hasher(10))
+    anchor, owner, start, windows, _ = suffix_dedup.anchor_runs(np.frombuffer(b"".join(texts), np.uint8), offsets, suffix_dedup.Hasher(10))
     at = {(o, s + j - offsets[o]): a for a, o, s, n in zip(anchor, owner, start, windows) for j in range(n)}
     assert len(at) == sum(max(0, len(t) - 49) for t in texts)
     assert all(at[0, 121 + j] == at[1, j] for j in range(len(texts[1]) - 49))
