@@ -1,9 +1,10 @@
-"""Token ids of whole texts by the tokenizers library, one call per different chunk.
+"""Token ids of whole texts by the tokenizers library, each different piece encoded once.
 
-A text is cut where no token can span: at single blanks.  Each different chunk is
-encoded once by the library in a worker's life, or until it remembers too many, and its
-ids are gathered for every place it stands at.  Texts in which a cut could change ids (blanks next to white space, special tokens)
-go to the library whole.
+Texts are cut where no token can span.  Between single blanks lie chunks; a chunk of plain
+letters (ASCII and Latin-1), digits and marks is cut again into the pieces the tokenizer's
+pattern makes of it, any other chunk is a piece.  All bytes of many texts are classed and
+cut at once, pieces are dictionary-encoded, and the ids of the different ones are gathered
+for every place they stand at.  A worker remembers pieces until they are too many.
 """
 
 from __future__ import annotations
@@ -11,26 +12,28 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
-#: White space of the tokenizers' patterns.
-WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_UNSAFE = re.compile(f" (?:[{WHITE}]|\\Z)")
-
-# Chunks that may share one call, see ``_joined``: no white space inside, or Latin letters.
-_INNER_WHITE = re.compile(f"[{WHITE}]")
-_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?")
-#: Chunks per call.
+#: Pieces per call of the library.
 JOINED = 512
-
-#: Different chunks a worker remembers before it starts afresh; bounds its memory.
-MAX_CHUNKS = 800_000
-#: Rows whose ids are gathered at once.
+#: Different pieces a worker remembers before it starts afresh; bounds its memory.
+MAX_PIECES = 600_000
+#: Bytes of texts taken together, and rows whose ids are handed on at once.
+SLICE = 1 << 21
 ROWS = 512
 
+# classes of bytes; from _QUOTE on a chunk is not cut further
+_LETTER, _DIGIT, _MARK, _BLANK, _FEED, _QUOTE, _OTHER = range(7)
+_CLASSES = np.full(256, _OTHER, np.uint8)
+_CLASSES[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = _MARK
+_CLASSES[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_CLASSES[0x30:0x3A] = _DIGIT
+_CLASSES[0x20], _CLASSES[0x0A], _CLASSES[0x27] = _BLANK, _FEED, _QUOTE
+#: White space of the tokenizers' patterns that is neither blank nor line feed.
+_WHITE = re.compile(rb"[\t\x0b-\r]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+
 
 def load(path: str):
     """The tokenizer, without truncation and padding."""
@@ -43,6 +46,62 @@ def load(path: str):
     return tokenizer
 
 
+def _after(mask: np.ndarray) -> np.ndarray:
+    """The mask, one place later."""
+    return np.r_[False, mask[:-1]]
+
+
+def cut(data: np.ndarray, offsets: np.ndarray, kept: bool, special: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bounds, plain, bytes): pieces of the texts ``data[offsets[k]:offsets[k+1]]``.
+
+    Pieces lie between neighbouring bounds and cover all bytes; ``plain`` tells which were
+    cut by class.  ``kept`` says that a blank belongs to the word after it; else white space
+    belongs to no token and letters are made small, as the tokenizer does.
+    """
+    n = len(data)
+    if not n:
+        return np.zeros(1, np.int64), np.zeros(0, bool), data
+    kind = _CLASSES[data]
+    lead = data == 0xC3
+    if lead.any():  # letters À-ÿ but × and ÷
+        second = _after(lead) & (data >= 0x80) & (data < 0xC0) & (data != 0x97) & (data != 0xB7)
+        kind[second | np.r_[second[1:], False]] = _LETTER
+    begins = np.zeros(n + 1, bool)
+    begins[offsets] = True
+    ends = begins[1:].copy()  # last bytes of texts
+    begins = begins[:-1]
+    white = (kind == _BLANK) | (kind == _FEED)
+    whole = kind >= _QUOTE
+    others = [m.span() for m in _WHITE.finditer(data.tobytes())] if whole.any() else []
+    for a, b in others:
+        white[a:b] = True
+    for word in special:
+        for m in re.finditer(re.escape(word), data.tobytes()):
+            whole[slice(*m.span())] = True
+    before, behind = _after(white) & ~begins, np.r_[white[1:], False] | ends
+    blank = kind == _BLANK
+    good = blank & ~before & ~behind  # one blank before a word: it goes with the word
+    if kept:
+        # two blanks, or one beside other white space, belong together with their words
+        feed = kind == _FEED
+        whole |= (blank & ~good) | (feed & (before | behind | begins))
+        chunk = begins | good
+    else:
+        space = blank | (kind == _FEED)
+        chunk = begins | space | _after(space & ~good)
+    at = np.flatnonzero(chunk)
+    plain = ~np.logical_or.reduceat(whole, at)
+    inside = np.repeat(plain, np.diff(np.r_[at, n]))
+    edge = np.r_[True, kind[1:] != kind[:-1]]
+    if not kept:
+        edge |= kind == _DIGIT
+        small = inside & (((data >= 0x41) & (data <= 0x5A)) | (_after(lead) & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)))
+        data = data + small.astype(np.uint8) * np.uint8(0x20)
+    bound = chunk | (edge & inside & ~_after(good))
+    bounds = np.flatnonzero(bound)
+    return np.r_[bounds, n], inside[bounds], data
+
+
 class ChunkEncoder:
     """Ids of many texts.
 
@@ -55,8 +114,7 @@ class ChunkEncoder:
             raise ValueError(f"blanks: {blanks!r}")
         self.tokenizer = load(path)
         self.kept = blanks == "kept"
-        added = self.tokenizer.get_added_tokens_decoder().values()
-        self.special = [t.content for t in added] if self.kept else []
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         if self.kept:
             self.line_feed = self._library(["\n"])[0][0]
         else:
@@ -66,7 +124,7 @@ class ChunkEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place: dict[bytes, int] = {}
         self.begin = np.zeros(1024, np.int64)
         self.length = np.zeros(1024, np.int64)
         self.ids = np.zeros(8192, np.int32)
@@ -75,40 +133,34 @@ class ChunkEncoder:
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joined(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-        """(lengths, ids) of chunks that are encoded as one text, or None if the ends of
-        the chunks cannot be told apart in its ids.
+    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """(lengths, ids) of plain pieces that are encoded as one text, or None if their
+        ends cannot be told apart in its ids.
 
-        With blanks kept a line feed, always a token of its own, goes between chunks.
-        With blanks dropped a blank goes between, and each run of letters and each mark
-        ends in a token that ends a word.
+        With blanks kept a line feed, always a token of its own, goes between pieces.
+        With blanks dropped a blank goes between, and a piece's last token ends a word.
         """
-        ids = np.array(self._library([("\n" if self.kept else " ").join(chunks)])[0], np.int32)
+        ids = np.array(self._library([("\n" if self.kept else " ").join(pieces)])[0], np.int32)
         if self.kept:
             ends = np.flatnonzero(ids == self.line_feed)
-            if len(ends) != len(chunks) - 1:
+            if len(ends) != len(pieces) - 1:
                 return None
-            lengths = np.diff(np.r_[-1, ends, len(ids)]) - 1
-            return lengths, np.delete(ids, ends)
+            return np.diff(np.r_[-1, ends, len(ids)]) - 1, np.delete(ids, ends)
         ends = np.flatnonzero(self.ends_word[ids])
-        words = np.cumsum([2 if c[-1] in ".," else 1 for c in chunks])
-        if len(ends) != words[-1]:
+        if len(ends) != len(pieces) or (len(ends) and ends[-1] != len(ids) - 1):
             return None
-        return np.diff(np.r_[-1, ends[words - 1]]), ids
+        return np.diff(np.r_[-1, ends]), ids
 
-    def _learn(self, chunks: list[str]) -> None:
-        if self.kept:
-            plain = [c[1:] if c[:1] == " " else " " + c for c in chunks]
-            joinable = [not _INNER_WHITE.search(c, 1) and p != " " for c, p in zip(chunks, plain)]
-        else:
-            plain = chunks
-            joinable = [_LETTERS.fullmatch(c) is not None for c in chunks]
-        alone = [k for k, j in enumerate(joinable) if not j]
-        together = [k for k, j in enumerate(joinable) if j]
+    def ids_of(self, pieces: list[bytes], plain: list[bool]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """(order, lengths, ids) of different pieces, each as a text of its own."""
+        white = (b"\n", b" ", b"\n ")
+        texts = [p.decode("utf-8", "surrogatepass") for p in pieces]
+        together = [k for k, p in enumerate(plain) if p and pieces[k] not in white]
+        alone = [k for k, p in enumerate(plain) if not p or pieces[k] in white]
         order, lengths, ids = [], [], []
         for first in range(0, len(together), JOINED):
             part = together[first : first + JOINED]
-            found = self._joined([plain[k] for k in part])
+            found = self._joined([texts[k] for k in part])
             if found is None:
                 alone += part
             else:
@@ -116,14 +168,15 @@ class ChunkEncoder:
                 lengths.append(found[0])
                 ids.append(found[1])
         if alone:
-            found = self._library([plain[k] for k in alone])
+            found = self._library([texts[k] for k in alone])
             order += alone
             lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
-            ids.append(np.fromiter(chain.from_iterable(found), np.int32, int(lengths[-1].sum())))
-        self._keep([chunks[k] for k in order], np.concatenate(lengths), np.concatenate(ids))
+            ids.append(np.array([i for x in found for i in x], np.int32))
+        return order, np.concatenate(lengths), np.concatenate(ids)
 
-    def _keep(self, chunks: list[str], lengths: np.ndarray, flat: np.ndarray) -> None:
-        first, last = len(self.place), len(self.place) + len(chunks)
+    def _learn(self, pieces: list[bytes], plain: list[bool]) -> None:
+        order, lengths, flat = self.ids_of(pieces, plain)
+        first, last = len(self.place), len(self.place) + len(pieces)
         while last > len(self.begin):
             self.begin, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length))
         while self.used + len(flat) > len(self.ids):
@@ -132,46 +185,54 @@ class ChunkEncoder:
         self.begin[first:last] = self.used + np.cumsum(lengths) - lengths
         self.ids[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
-        self.place.update(zip(chunks, range(first, last)))
-
-    def _chunks(self, text: str) -> list[str]:
-        if not self.kept:
-            return text.replace("\n", " ").split(" ")
-        chunks = text.split(" ")
-        chunks[0] = " " + chunks[0]  # marks a chunk without a blank before it
-        return chunks
-
-    def _whole(self, text: str) -> bool:
-        return self.kept and (_UNSAFE.search(text) is not None or any(s in text for s in self.special))
+        self.place.update((pieces[k], first + j) for j, k in enumerate(order))
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids): ids of text k are ``ids[offsets[k]:offsets[k + 1]]``."""
-        parts: list[list[str]] = []
-        whole: dict[int, np.ndarray] = {}
-        for k, text in enumerate(texts):
-            if not text:
-                parts.append([])
-            elif self._whole(text):
-                whole[k] = np.array(self._library([text])[0], np.int32)
-                parts.append([])
-            else:
-                parts.append(self._chunks(text))
-        chunks = list(chain.from_iterable(parts))
-        if len(self.place) > MAX_CHUNKS:
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        parts = [self._encode(*part) for part in slices(texts)]
+        counts = np.concatenate([np.zeros(1, np.int64), *(np.diff(offsets) for offsets, _ in parts)])
+        return np.cumsum(counts), np.concatenate([ids for _, ids in parts]) if parts else np.zeros(0, np.int32)
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bounds, plain, data = cut(data, offsets, self.kept, self.special)
+        codes, pieces, first = distinct(bounds, data)
+        if len(self.place) + len(pieces) > MAX_PIECES:
             self._forget()
-        fresh = [c for c in dict.fromkeys(chunks) if c not in self.place]
+        fresh = [k for k, p in enumerate(pieces) if p not in self.place]
         if fresh:
-            self._learn(fresh)
-        at = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
+            self._learn([pieces[k] for k in fresh], plain[first[fresh]].tolist())
+        at = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))[codes]
         lengths = self.length[at]
-        ends = np.cumsum(lengths)
-        ids = self.ids[np.repeat(self.begin[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        counts = np.cumsum([0, *map(len, parts)])
-        offsets = np.r_[0, ends][counts]
-        if not whole:
-            return offsets, ids
-        rows = [whole.get(k, ids[offsets[k] : offsets[k + 1]]) for k in range(len(texts))]
-        return np.cumsum([0, *map(len, rows)]), np.concatenate(rows) if rows else ids
+        ends = np.r_[0, np.cumsum(lengths)]
+        ids = self.ids[np.repeat(self.begin[at] - ends[:-1], lengths) + np.arange(ends[-1])]
+        return ends[np.searchsorted(bounds, offsets)], ids
+
+
+def distinct(bounds: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """(codes, pieces, first): number of each place's piece, the different pieces, and the
+    first place of each."""
+    array = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+    found = array.dictionary_encode()
+    codes, pieces = found.indices.to_numpy(), found.dictionary.to_pylist()
+    first = np.zeros(len(pieces), np.int64)
+    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    return codes, pieces, first
+
+
+def slices(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bytes and offsets of some texts at a time: ``SLICE`` bytes, or one text.  Null is empty."""
+    if not len(texts):
+        return
+    texts = texts.fill_null("").cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    first = 0
+    while first < len(texts):
+        last = min(max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE, "right")) - 1), len(texts))
+        part = offsets[first : last + 1]
+        yield data[part[0] : part[-1]], part - part[0]
+        first = last
 
 
 def worker_encoder(path: str, blanks: str) -> ChunkEncoder:
@@ -194,7 +255,7 @@ def encoded(batches: Iterator[pa.RecordBatch], text_at: int, encoder: ChunkEncod
     for whole in batches:
         for first in range(0, whole.num_rows, ROWS):
             batch = whole.slice(first, ROWS)
-            offsets, ids = encoder.encode(batch.column(text_at).to_pylist())
+            offsets, ids = encoder.encode(batch.column(text_at))
             if end_id is not None:
                 ids = np.insert(ids, offsets[1:], end_id).astype(np.int32)
                 offsets = offsets + np.arange(len(offsets))

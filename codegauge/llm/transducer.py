@@ -1,13 +1,14 @@
 """BPE encoding with a minimal acyclic transducer of frequent words, and decoding.
 
-Words are what lies between single blanks, with their blank.  All words of the corpus
-are counted; the most frequent ones, with the ids that exact merging gives them, are
-compiled into a minimal acyclic automaton: equal suffixes share states, and the outputs
-along a word's arcs add up to its row in the table of id lists.  The file is sent to
-every executor (``SparkContext.addFile``) and memory-mapped there, so all workers of a
-machine share its pages.  The lexicon's ids come from merging pair by pair, lowest rank
-first, as the vocabulary's merge list says; words that the automaton does not accept are
-merged by the tokenizers library, many in one call, with equal results and faster.
+Texts are cut into the pieces of the tokenizer's pattern (``tokens.cut``).  The words of
+the corpus that follow a blank are counted; the most frequent ones, with the ids that exact
+merging gives them, are compiled into a minimal acyclic automaton: equal suffixes share
+states, and the outputs along a word's arcs add up to its row in the table of id lists.
+The file is sent to every executor (``SparkContext.addFile``) and memory-mapped there, so
+all workers of a machine share its pages.  Pieces that the automaton does not accept are
+merged pair by pair, lowest rank first, as the vocabulary's merge list says, many words
+side by side.  Only chunks between blanks that hold other characters than plain letters,
+digits and marks, irregular white space or special tokens go to the tokenizers library.
 
 Defined results: a null text counts as empty and has no ids; null ids decode to null;
 bytes that are no UTF-8 decode to U+FFFD; equal texts get equal ids whatever the lexicon
@@ -16,9 +17,11 @@ holds; an empty table gives an empty table (and an empty lexicon).
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
 import re
+import shutil
 import tempfile
 import uuid
 from collections import Counter
@@ -28,13 +31,14 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codegauge.llm.tokens import ROWS, WHITE, ChunkEncoder, worker_encoder
+from codegauge.llm.tokens import ROWS, ChunkEncoder, cut, distinct, slices, worker_encoder
 from codegauge.storage import stage
 
 #: Most words a lexicon holds, and how often a word must stand in the corpus for it.
@@ -42,9 +46,6 @@ LEXICON_WORDS = 1 << 16
 MIN_COUNT = 4
 #: Words counted by a task before it passes its counts on.
 COUNTED = 300_000
-#: Different words a task remembers the ids of.
-KNOWN = 400_000
-_UNSAFE = re.compile(f" (?:[{WHITE}]|\\Z)")
 
 
 def byte_letters() -> list[str]:
@@ -105,28 +106,91 @@ class Merger:
         return out
 
 
-def words_of(text: str) -> list[str]:
-    """Words with their blank; joined they are the text.  Pre-tokens span no two words
-    only if no blank stands next to other white space, see ``spans_words``."""
-    first, *rest = text.split(" ")
-    return [first, *(" " + w for w in rest)]
-
+class PairTable:
+    """Ranks and results of merges, for arrays of pairs: open addressing in two arrays."""
+
+    BITS = 18
+
+    def __init__(self, merger: Merger):
+        self.base = np.array(merger.base, np.int64)
+        pairs = np.array([(a << 32 | b, rank << 32 | new) for (a, b), (rank, new) in merger.merges.items()], np.int64).reshape(-1, 2)
+        size = 1 << self.BITS
+        self.keys, self.values = np.full(size, -1, np.int64), np.full(size, np.iinfo(np.int64).max)
+        todo, slot = np.arange(len(pairs)), self._slot(pairs[:, 0])
+        while len(todo):  # of those that want a slot the first takes it, the others go on
+            free = self.keys[slot] == -1
+            places, winner = np.unique(slot[free], return_index=True)
+            won = np.flatnonzero(free)[winner]
+            self.keys[places], self.values[places] = pairs[todo[won], 0], pairs[todo[won], 1]
+            left = np.ones(len(todo), bool)
+            left[won] = False
+            todo, slot = todo[left], (slot[left] + 1) % size
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """rank << 32 | result of each pair; the greatest number for pairs without a merge."""
+        keys = left << 32 | right
+        out, slot = np.full(len(keys), np.iinfo(np.int64).max), self._slot(keys)
+        todo = np.arange(len(keys))
+        while len(todo):
+            at = self.keys[slot]
+            hit = at == keys[todo]
+            out[todo[hit]] = self.values[slot[hit]]
+            on = ~hit & (at != -1)
+            todo, slot = todo[on], (slot[on] + 1) % len(self.keys)
+        return out
 
-def spans_words(text: str, special: dict[str, int]) -> bool:
-    return _UNSAFE.search(text) is not None or any(s in text for s in special)
+    def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(lengths, ids) of pre-tokens: in each word the lowest-ranked pair is merged
+        wherever it stands, until no word has any."""
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ids = self.base[np.frombuffer(b"".join(pieces), np.uint8)]
+        word = np.repeat(np.arange(len(pieces)), lengths)
+        done_ids, done_word = [], []
+        none = np.iinfo(np.int64).max
+        while len(ids):
+            found = np.full(len(ids), none)
+            pair = np.flatnonzero(word[:-1] == word[1:])
+            found[pair] = self.find(ids[pair], ids[pair + 1])
+            begins = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            size = np.diff(np.r_[begins, len(ids)])
+            least = np.repeat(np.minimum.reduceat(found, begins), size)
+            over = least == none
+            done_ids.append(ids[over])
+            done_word.append(word[over])
+            hit = (found == least) & ~over
+            # of overlapping pairs (aaa) every second one, from the left
+            at = np.arange(len(ids))
+            start = np.maximum.accumulate(np.where(hit & ~np.r_[False, hit[:-1] & (word[1:] == word[:-1])], at, 0))
+            hit &= (at - start) % 2 == 0
+            ids = np.where(hit, least & 0xFFFFFFFF, ids)
+            stay = ~over & ~np.r_[False, hit[:-1]]
+            ids, word = ids[stay], word[stay]
+        if not done_ids:
+            return np.zeros(len(pieces), np.int64), np.zeros(0, np.int32)
+        ids, word = np.concatenate(done_ids), np.concatenate(done_word)
+        order = np.argsort(word, kind="stable")
+        return np.bincount(word, minlength=len(pieces)), ids[order].astype(np.int32)
 
 
 def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n) over all texts; a task sums its words before it sends them."""
+    """(word, n) of the plain words after a blank; a task sums its words before it sends them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+        counts: Counter[bytes] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            words = pa.array([w[1:] for w in counts], pa.binary()).cast(pa.string())
+            return pa.RecordBatch.from_arrays([words, pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    first, *rest = text.split(" ")
-                    counts.update(rest)
+            for data, offsets in slices(batch.column(0)):
+                bounds, plain, data = cut(data, offsets, True, [])
+                codes, pieces, first = distinct(bounds, data)
+                n = np.bincount(codes, minlength=len(pieces)).tolist()
+                counts.update({p: k for p, k, good in zip(pieces, n, plain[first].tolist()) if good and p[:1] == b" " and len(p) > 1})
             if len(counts) > COUNTED:
                 yield flush()
                 counts.clear()
@@ -136,7 +200,8 @@ def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def frequent_words(df: DataFrame, text_col: str = "text", most: int = LEXICON_WORDS, min_count: int = MIN_COUNT) -> list[str]:
-    """At most ``most`` words, the most frequent ones (a count's words come all or none).
+    """At most ``most`` words, the most frequent ones; of those as frequent as the last
+    the first in order.
 
     Words are binned by the logarithm of their count to find the least count that fits:
     some hundred rows, then at most ``most`` words, reach the driver.
@@ -144,15 +209,16 @@ def frequent_words(df: DataFrame, text_col: str = "text", most: int = LEXICON_WO
     counts = stage(word_counts(df, text_col).where(F.col("n") >= min_count), "lexicon-words")
     bins = F.floor(F.log2("n") * 16).cast("int")
     sizes = {r["b"]: r["n"] for r in counts.groupBy(bins.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    total, least = 0, None
+    total, words = 0, []
     for b in sorted(sizes, reverse=True):
-        total += sizes[b]
-        if total > most:
+        if total + sizes[b] > most:
+            rest = counts.where(bins == b).orderBy(F.col("n").desc(), "word").limit(most - total)
+            words = [r["word"] for r in rest.select("word").collect()]
             break
-        least = b
-    if least is None:
-        return []
-    return [r["word"] for r in counts.where(bins >= least).select("word").collect()]
+        total += sizes[b]
+    else:
+        b = min(sizes, default=0) - 1
+    return [r["word"] for r in counts.where(bins > b).select("word").collect()] + words
 
 
 def compile_words(entries: dict[bytes, list[int]]) -> dict[str, np.ndarray]:
@@ -270,47 +336,40 @@ class Lexicon:
 
 def build_lexicon(df: DataFrame, vocabulary: str, text_col: str = "text", most: int = LEXICON_WORDS) -> Lexicon:
     """Count, merge and compile the frequent words of ``df`` and send the file out."""
-    merger = Merger(vocabulary)
-    words = [" " + w for w in frequent_words(df, text_col, most) if w]
-    arrays = compile_words({w.encode(): merger.ids(w) for w in words if not spans_words(w[1:], merger.special)})
+    words = [b" " + w.encode() for w in frequent_words(df, text_col, most)]
+    lengths, ids = PairTable(Merger(vocabulary)).merge(words)
+    ends = np.cumsum(lengths)
+    arrays = compile_words({w: ids[e - n : e].tolist() for w, n, e in zip(words, lengths, ends)})
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    path = os.path.join(tempfile.mkdtemp(prefix="codegauge-"), name)
-    save(arrays, path)
-    df.sparkSession.sparkContext.addFile(path)
+    # Spark's file server hands the file to the executors as long as the driver lives
+    folder = tempfile.mkdtemp(prefix="codegauge-")
+    atexit.register(shutil.rmtree, folder, True)
+    save(arrays, os.path.join(folder, name))
+    df.sparkSession.sparkContext.addFile(os.path.join(folder, name))
     return Lexicon(vocabulary, name)
 
 
-class WordEncoder:
-    """Ids of whole texts: lexicon first, exact merging by the library for the rest."""
-
-    def __init__(self, rest: ChunkEncoder, arrays: dict[str, np.ndarray]):
-        self.rest, self.arrays = rest, arrays
-        self.special = dict.fromkeys(rest.special)
-        self.known: dict[str, list[int]] = {}  # words of this task, forgotten when many
-
-    def _learn(self, words: list[str]) -> None:
-        rows = look_up(self.arrays, [w.encode("utf-8", "surrogatepass") for w in words])
-        begin, ids = self.arrays["begin"], self.arrays["ids"]
-        unseen = [word for word, row in zip(words, rows.tolist()) if row < 0]
-        offsets, merged = self.rest.encode(unseen)
-        self.known.update((w, merged[a:b].tolist()) for w, a, b in zip(unseen, offsets, offsets[1:]))
-        self.known.update((w, ids[begin[r] : begin[r + 1]].tolist()) for w, r in zip(words, rows.tolist()) if r >= 0)
-
-    def encode(self, texts: list[str | None]) -> tuple[list[int], list[int]]:
-        """(offsets, ids) of the texts."""
-        offsets, out = [0], []
-        parts = [None if not t or spans_words(t, self.special) else words_of(t) for t in texts]
-        if len(self.known) > KNOWN:
-            self.known = {}
-        self._learn([w for w in dict.fromkeys(chain.from_iterable(p for p in parts if p)) if w not in self.known])
-        for text, words in zip(texts, parts):
-            if words:
-                for ids in map(self.known.__getitem__, words):
-                    out += ids
-            elif text:
-                out += self.rest.encode([text])[1].tolist()
-            offsets.append(len(out))
-        return offsets, out
+class WordEncoder(ChunkEncoder):
+    """Ids of whole texts: lexicon first, exact merging for plain pieces it has not."""
+
+    def __init__(self, library: ChunkEncoder, arrays: dict[str, np.ndarray], pairs: PairTable):
+        self.tokenizer, self.kept, self.special, self.line_feed = library.tokenizer, True, library.special, library.line_feed
+        self.arrays, self.pairs = arrays, pairs
+        self._forget()
+
+    def ids_of(self, pieces: list[bytes], plain: list[bool]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        ours = np.flatnonzero(plain)
+        rows = look_up(self.arrays, [pieces[k] for k in ours])
+        known, unseen = ours[rows >= 0], ours[rows < 0]
+        begin, rows = self.arrays["begin"], rows[rows >= 0]
+        lengths = begin[rows + 1] - begin[rows]
+        at = np.repeat(begin[rows] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        found = [(known, lengths, self.arrays["ids"][at]), (unseen, *self.pairs.merge([pieces[k] for k in unseen]))]
+        others = np.flatnonzero(~np.asarray(plain, bool))
+        if len(others):
+            order, counts, ids = super().ids_of([pieces[k] for k in others], [False] * len(others))
+            found.append((others[order], counts, ids))
+        return tuple(np.concatenate(part) for part in zip(*found))
 
 
 def encode(text: Column, lexicon: Lexicon) -> Column:
@@ -318,26 +377,53 @@ def encode(text: Column, lexicon: Lexicon) -> Column:
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = WordEncoder(worker_encoder(lexicon.vocabulary, "kept"), load(SparkFiles.get(lexicon.file_name)))
+        encoder = WordEncoder(worker_encoder(lexicon.vocabulary, "kept"), load(SparkFiles.get(lexicon.file_name)), PairTable(Merger(lexicon.vocabulary)))
         for batch in batches:
             parts = []
             for first in range(0, max(1, len(batch)), ROWS):
-                offsets, flat = encoder.encode(batch.slice(first, ROWS).to_pylist())
+                offsets, flat = encoder.encode(batch.slice(first, ROWS))
                 parts.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32())))
             yield pa.concat_arrays(parts)
 
     return ids(text)
 
 
+class TokenBytes:
+    """The bytes of every token, in one array."""
+
+    def __init__(self, merger: Merger):
+        size = max(merger.bytes_of) + 1
+        tokens = [merger.bytes_of.get(i) for i in range(size)]
+        self.missing = np.array([t is None for t in tokens])
+        self.length = np.array([len(t or b"") for t in tokens], np.int64)
+        self.begin = np.cumsum(self.length) - self.length
+        self.data = np.frombuffer(b"".join(t or b"" for t in tokens), np.uint8)
+
+    def text(self, ids: pa.ListArray) -> pa.Array:
+        """Text of each list: its tokens' bytes, joined and read as UTF-8."""
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
+        if len(flat) and (flat.min() < 0 or flat.max() >= len(self.length) or self.missing[flat].any()):
+            raise KeyError("an id that the vocabulary does not have")
+        ends = np.r_[0, np.cumsum(self.length[flat])]
+        at = np.repeat(self.begin[flat] - ends[:-1], self.length[flat]) + np.arange(ends[-1])
+        counts = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        offsets = ends[np.r_[0, np.cumsum(counts)]].astype(np.int32)
+        joined = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets), pa.py_buffer(self.data[at])])
+        try:
+            texts = joined.cast(pa.string())
+        except pa.ArrowInvalid:
+            texts = pa.array([x.decode("utf-8", "replace") for x in joined.to_pylist()], pa.string())
+        return pc.if_else(ids.is_valid(), texts, pa.scalar(None, pa.string()))
+
+
 def decode(ids: Column, vocabulary: str) -> Column:
     """Text of an array<int> column: the tokens' bytes, joined and read as UTF-8."""
 
     @F.arrow_udf(T.StringType())
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        token = Merger(vocabulary).bytes_of
-        join = lambda x: None if x is None else b"".join(map(token.__getitem__, x)).decode("utf-8", "replace")
-        for batch in batches:  # few rows at once: ids are large as Python objects
+        tokens = TokenBytes(Merger(vocabulary))
+        for batch in batches:
             parts = [batch.slice(first, ROWS) for first in range(0, max(1, len(batch)), ROWS)]
-            yield pa.concat_arrays([pa.array([join(x) for x in part.to_pylist()], pa.string()) for part in parts])
+            yield pa.concat_arrays([tokens.text(part) for part in parts])
 
     return text(ids)
