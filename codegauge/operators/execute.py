@@ -6,7 +6,9 @@ The engine ships no runner.  A runner is a picklable function
 ``result``.  Columns named as a script's inputs (environment, files, dependencies,
 named values) reach it as ``limits["inputs"]``, a dict read from JSON; binary columns
 are base 64 there.  It must be safe to call again for the same script, because tasks of
-lost executors run again.  Isolation of untrusted code is the runner's duty.
+lost executors run again.  With ``isolate`` each task runs its scripts in a child process
+whose memory and time are limited by force (``operators.isolation``); without it the
+memory limit is only handed to the runner.  Files and network are the runner's duty.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 
 from codegauge import fixed_values as V
 from codegauge.functions import execution as X
+from codegauge.operators.isolation import Slot
 from codegauge.operators.joins import skew_join
 from codegauge.operators.triage import triage
 from codegauge.schemas import EXECUTION
@@ -121,10 +124,10 @@ def _call(runner: Runner, script: str, limits: dict) -> dict:
     }
 
 
-def _execution_row(script_hash: str, script: str, engine: str, runner: Runner, limits: dict) -> dict:
+def _execution_row(script_hash: str, script: str, engine: str, call: Runner, limits: dict) -> dict:
     started = datetime.datetime.now(datetime.timezone.utc)
     clock = time.perf_counter()
-    outcome = _call(runner, script, limits)
+    outcome = call(script, limits)
     seconds = time.perf_counter() - clock
     error_class = outcome.get("error_class")
     exit_code = outcome.get("exit_code")
@@ -150,14 +153,20 @@ def _execution_row(script_hash: str, script: str, engine: str, runner: Runner, l
     }
 
 
-def _run_distinct(scripts: DataFrame, runner: Runner, engine: str, limits: dict, partitions: int) -> DataFrame:
+def _run_distinct(scripts: DataFrame, runner: Runner, engine: str, limits: dict, partitions: int, isolate: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [
-                _execution_row(h, s, engine, runner, limits | ({"inputs": json.loads(i)} if i else {}))
-                for h, s, i in zip(*(batch.column(k).to_pylist() for k in range(3)))
-            ]
-            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW_SCHEMA)
+        call = lambda script, limits: _call(runner, script, limits)
+        slot = Slot(call, limits.get("max_memory_mb")) if isolate else None
+        try:
+            for batch in batches:
+                rows = [
+                    _execution_row(h, s, engine, slot.run if slot else call, limits | ({"inputs": json.loads(i)} if i else {}))
+                    for h, s, i in zip(*(batch.column(k).to_pylist() for k in range(3)))
+                ]
+                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW_SCHEMA)
+        finally:
+            if slot:
+                slot.stop()
 
     # script costs differ by orders of magnitude: many small tasks, spread by hash
     return (
@@ -221,13 +230,14 @@ def execute_scripts(
     partitions: int | None = None,
     attach: bool = False,
     input_columns: Sequence[str] = (),
+    isolate: bool = False,
 ) -> DataFrame:
     """One execution per row with a script; scripts with equal text and inputs run once.
 
     ``df`` is read three times (scripts, hash counts, rows): pass a stored table.
     """
     runs = _run_distinct(
-        distinct_scripts(df, script_column, input_columns), runner, engine, DEFAULT_LIMITS | (limits or {}), _partitions(df, partitions)
+        distinct_scripts(df, script_column, input_columns), runner, engine, DEFAULT_LIMITS | (limits or {}), _partitions(df, partitions), isolate
     )
     return to_rows(df, runs, row_key, script_column, attach, input_columns)
 
@@ -267,6 +277,7 @@ def execute_with_fallback(
     partitions: int | None = None,
     attach: bool = False,
     input_columns: Sequence[str] = (),
+    isolate: bool = False,
 ) -> DataFrame:
     """Fast engine where it can run a script, container elsewhere, then retries.
 
@@ -280,11 +291,11 @@ def execute_with_fallback(
     scripts = distinct_scripts(df, script_column, input_columns)
     if skip_compatibility_check:
         scripts = stage(scripts, "scripts")
-        first = _run_distinct(scripts, fast_runner, V.FAST_ENGINE, limits, partitions)
+        first = _run_distinct(scripts, fast_runner, V.FAST_ENGINE, limits, partitions, isolate)
     else:
         scripts = stage(triage(scripts, "script").select(HASH, "script", INPUTS, "is_compatible"), "scripts")
         fast = _run_distinct(
-            scripts.where("is_compatible"), fast_runner, V.FAST_ENGINE, limits, partitions
+            scripts.where("is_compatible"), fast_runner, V.FAST_ENGINE, limits, partitions, isolate
         )
         slow = _run_distinct(
             scripts.where(~F.col("is_compatible")),
@@ -292,10 +303,11 @@ def execute_with_fallback(
             V.CONTAINER_ENGINE,
             limits,
             partitions,
+            isolate,
         )
         first = fast.unionByName(slow)
     first = stage(first, "executions")
     candidates = first.where(is_fallback_candidate()).select(HASH).join(scripts, HASH)
-    retry = _run_distinct(candidates, container_runner, V.CONTAINER_ENGINE, limits, partitions)
+    retry = _run_distinct(candidates, container_runner, V.CONTAINER_ENGINE, limits, partitions, isolate)
     merged = stage(merge_fallback(first, retry, HASH), "merged")  # retries run once
     return to_rows(df, merged, row_key, script_column, attach, input_columns)

@@ -81,7 +81,7 @@ def verify_training_job(spark, sf_dir):
     kind = F.col("doc_id") % 3
     raw = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("seq_id"), F.col("text").alias("instruction"), F.col("lang").alias("output"),
-        F.concat(F.lit("def fn(x):\n    return x\n# "), (F.col("doc_id") % 60).cast("string")).alias("code"),
+        F.concat(F.lit("def fn(x):\n    return x\n# "), F.col("doc_id").cast("string")).alias("code"),
         F.lit("fn").alias("entry_point"),
         F.array(F.lit("assert fn(1) == 1"), F.when(kind == 0, F.lit("assert fn(2) == 2")).when(kind == 1, F.lit("assert fn(2) == 3")).otherwise(F.lit("assert gn(2) == 2"))).alias("testcase"),
     )
@@ -104,11 +104,12 @@ def benchmark_b_load(spark, sf_dir):
 
 
 def module_map_read(spark, sf_dir):
-    """Packages of all scripts by a module map file (sixty modules occur)."""
-    modules = table(spark, sf_dir, "part").where("p_partkey < 60")
-    pairs = modules.agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("mod_"), F.col("p_partkey").cast("string")), "p_name"))).alias("mapping"))
+    """Packages of all scripts by a module map of one JSON object per thousand modules."""
+    entry = F.struct(F.concat(F.lit("mod_"), F.col("p_partkey").cast("string")), "p_name")
+    pairs = table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 1000)).agg(F.map_from_entries(F.collect_list(entry)).alias("mapping"))
     path = storage.new_path(spark, "module-map")
-    pairs.select(F.to_json(F.struct(F.struct(F.lit(1).alias("version")).alias("_metadata"), "mapping")).alias("value")).coalesce(1).write.text(path)
+    objects = pairs.select(F.to_json(F.struct(F.struct(F.lit(1).alias("version")).alias("_metadata"), "mapping")).alias("value"))
+    objects.write.option("maxRecordsPerFile", 1).text(path)
     found = triage.triage(view(spark, sf_dir, "fx_importing_scripts"), "script").select("script_id", "modules")
     resolved = triage.resolve_dependencies(found, "script_id", support.read_module_map(spark, path))
     return resolved.select("script_id", F.array_join("dependencies", ",").alias("dependencies"))
@@ -159,7 +160,7 @@ ORACLES = {
         """+ needed AS (
           SELECT script_id, unnest([regexp_extract(script, 'import (mod_[0-9]+)', 1), regexp_extract(script, 'mod_[0-9]+, (.*)\\.sub', 1)]) AS module
           FROM fx_importing_scripts),
-        map AS (SELECT concat('mod_', CAST(p_partkey AS string)) AS module, p_name AS package FROM part WHERE p_partkey < 60)
+        map AS (SELECT concat('mod_', CAST(p_partkey AS string)) AS module, p_name AS package FROM part)
         SELECT script_id, string_agg(DISTINCT coalesce(package, n.module), ',' ORDER BY coalesce(package, n.module)) AS dependencies
         FROM needed n LEFT JOIN map m ON m.module = n.module GROUP BY script_id""",
     ),

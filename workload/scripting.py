@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import ast
 import json
+import signal
+import time
 
 from pyspark.sql import functions as F
 
 from codegauge.functions import scripts as S
+from codegauge.functions import tables as sql_tables
 from codegauge.functions.outcome import task_pass_rate
 from codegauge.operators import execute, triage
 from codegauge.operators.metrics import with_outcome
+from workload.sqltext import PARSED
 from workload.views import SCRIPT_FORMS, view, with_views
 
 
@@ -97,7 +101,7 @@ def input_runner(script: str, limits: dict) -> dict:
 
 def execute_with_inputs(spark, sf_dir):
     """Equal scripts with other inputs are other runs."""
-    rows = view(spark, sf_dir, "fx_printing_scripts").where("script LIKE 'print%'").select(
+    rows = view(spark, sf_dir, "fx_printing_scripts").select(
         "row_id", "script", F.create_map(F.lit("MODE"), (F.col("row_id") % 2).cast("string")).alias("env"),
         F.array(F.lit("a.txt")).alias("names"), (F.col("row_id") % 3).alias("x"),
     )
@@ -113,11 +117,50 @@ def execute_with_fallback(spark, sf_dir):
     )
 
 
+def hungry_runner(script: str, limits: dict) -> dict:
+    """Scripts that raise take a gigabyte, those with a class stop listening and wait."""
+    if script.startswith("raise"):
+        return {"stdout": str(len(bytearray(1 << 30)))}
+    if script.startswith("class"):
+        signal.pthread_sigmask(signal.SIG_BLOCK, {signal.SIGALRM, signal.SIGTERM, signal.SIGINT})
+        time.sleep(3600)
+    return print_runner(script, limits)
+
+
+def execute_isolated(spark, sf_dir):
+    """Limits that hold by force; the other scripts of a batch are as before."""
+    rows = view(spark, sf_dir, "fx_printing_scripts")
+    limits = {"max_duration_sec": 0.5, "max_memory_mb": 256}
+    runs = execute.execute_scripts(rows, "row_id", "script", hungry_runner, "docker", limits, isolate=True)
+    return _summary(runs).join(runs.select("row_id", "timed_out", "memory_limit_hit"), "row_id").drop("error_class", "pass_rate")
+
+
+def sql_triage(spark, sf_dir):
+    """Verdicts from SQL text, beside the table's own columns."""
+    sql_tables.register(spark)
+    view(spark, sf_dir, "fx_scripts").createOrReplaceTempView("fx_scripts")
+    return spark.sql("""
+        SELECT CAST(t.id AS BIGINT) AS script_id, t.parse_ok, array_join(t.modules, ',') AS modules, t.is_compatible, t.reason
+        FROM triage_scripts(TABLE (SELECT script_id AS id, script FROM fx_scripts)) t""")
+
+
+def sql_rewards(spark, sf_dir):
+    """Rewards and advantages of each prompt's runs from SQL text."""
+    sql_tables.register(spark)
+    view(spark, sf_dir, "fx_executions").createOrReplaceTempView("fx_executions")
+    return spark.sql("""
+        SELECT CAST(prompt_id AS BIGINT) AS prompt_id, CAST(sample_id AS BIGINT) AS sample_id, round(reward, 9) AS reward,
+          round(prompt_mean, 9) AS prompt_mean, round(advantage, 9) AS advantage
+        FROM prompt_rewards(TABLE (
+          SELECT prompt_id, exec_id AS sample_id, stdout, exit_code = 0 AND is_valid_python AS success FROM fx_executions
+        ) PARTITION BY prompt_id)""")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         import_triage, dependency_resolve, script_headers, async_scan, execute_scripts,
-        execute_with_fallback, execute_with_inputs,
+        execute_with_fallback, execute_with_inputs, execute_isolated, sql_triage, sql_rewards,
     )
 }
 
@@ -187,8 +230,9 @@ ORACLES = {
     "execute_with_inputs": with_views(
         ["fx_printing_scripts"],
         f"""+ {RUN}
-        SELECT row_id, concat('["', stdout, '", "', CAST(row_id % 2 AS string), '", ["a.txt"], ', CAST(row_id % 3 AS string), ']') AS stdout
-        FROM rated WHERE starts_with(script, 'print')""",
+        SELECT row_id, CASE WHEN failed THEN ''
+          ELSE concat('["', stdout, '", "', CAST(row_id % 2 AS string), '", ["a.txt"], ', CAST(row_id % 3 AS string), ']') END AS stdout
+        FROM rated""",
     ),
     "execute_with_fallback": with_views(
         ["fx_printing_scripts"],
@@ -197,4 +241,23 @@ ORACLES = {
           CAST(CASE WHEN failed THEN 1 ELSE 0 END AS INTEGER) AS exit_code,
           CASE WHEN failed THEN 'runtime' END AS error_class, {RATE} FROM rated""",
     ),
+    "execute_isolated": with_views(
+        ["fx_printing_scripts"],
+        f"""+ {RUN}
+        SELECT row_id, 'docker' AS sandbox_type, CASE WHEN starts_with(script, 'print') THEN stdout ELSE '' END AS stdout,
+          CAST(CASE WHEN failed THEN 137 WHEN starts_with(script, 'class') THEN 124 ELSE 0 END AS INTEGER) AS exit_code,
+          starts_with(script, 'class') AS timed_out, failed AS memory_limit_hit FROM rated""",
+    ),
+    "sql_rewards": with_views(
+        ["fx_executions"],
+        f"""+ {PARSED}, rewarded AS (
+          SELECT prompt_id, exec_id AS sample_id, CASE WHEN success AND kind = 'list' THEN pass_rate ELSE 0.0E0 END AS reward FROM verdict)
+        SELECT prompt_id, sample_id, round(reward, 9) AS reward, round(avg(reward) OVER (PARTITION BY prompt_id), 9) AS prompt_mean,
+          round(reward - avg(reward) OVER (PARTITION BY prompt_id), 9) AS advantage FROM rewarded""",
+    ),
 }
+
+ORACLES["sql_triage"] = ORACLES["import_triage"].replace(
+    """
+          features = 'Class' AS has_class, features = 'Match' AS has_match, features = 'Delete' AS has_del,""", ""
+)
