@@ -3,8 +3,8 @@
 Counting is single-pass in-memory indexing: a task counts terms in a block of postings;
 when the block is full it is passed on as a run sorted by term, and an empty one begins.
 Runs are dealt to shards by the hash of (language, term, source), where Spark's external
-sort heap-merges them, and neighbours are summed as they stream by.  A term's documents
-per language are counted in the same runs, under no source.
+sort heap-merges them, and neighbours are summed as they stream by.  Postings carry the
+occurrences and the documents of a term in a group.
 
 With V kept terms of a language (in ``MIN_DOCUMENTS`` of its documents or more) and N
 their occurrences in a group, a count c has the weight
@@ -40,7 +40,7 @@ MIN_DOCUMENTS = 10
 SCALE = 1_000_000_000
 TOP_TERMS = 10
 #: Postings of a block; bytes of a text that are cut into words at once; pairs corrected at once.
-BLOCK = 300_000
+BLOCK = 500_000
 PIECE = 1 << 22
 PAIRS = 1 << 19
 
@@ -64,35 +64,36 @@ def words_of(text: str) -> Iterator[list[bytes]]:
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """(lang, source, text) -> term-sorted runs (lang, term, source, n, docs); rows without
-    a source count the documents of a term."""
+    """(lang, source, text) -> term-sorted runs (lang, term, source, n, docs)."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, str], Counter[bytes]] = defaultdict(Counter)
-        holds: dict[str, Counter[bytes]] = defaultdict(Counter)
+        holds: dict[tuple[str, str], Counter[bytes]] = defaultdict(Counter)
         size = 0
 
         def run() -> pa.RecordBatch:
-            rows = [(lang, term, source, n, 0) for (lang, source), terms in counts.items() for term, n in terms.items()]
-            rows += [(lang, term, None, 0, n) for lang, terms in holds.items() for term, n in terms.items()]
-            rows.sort(key=lambda row: row[:2])
+            groups = list(counts)
+            lengths = [len(counts[g]) for g in groups]
+            column = lambda k: pa.array([g[k] for g in groups], pa.string()).take(pa.array(np.repeat(np.arange(len(groups)), lengths)))
+            terms = pa.array([t for g in groups for t in counts[g]], pa.binary()).cast(pa.string())
+            n = np.fromiter((n for g in groups for n in counts[g].values()), np.int64, sum(lengths))
+            held = np.fromiter((k for g in groups for k in map(holds[g].__getitem__, counts[g])), np.int64, sum(lengths))
             counts.clear()
             holds.clear()
-            columns = list(zip(*rows)) or [[]] * 5
-            terms = pa.array(columns[1], pa.binary()).cast(pa.string())
-            arrays = [pa.array(columns[0], pa.string()), terms, pa.array(columns[2], pa.string()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64())]
-            return pa.RecordBatch.from_arrays(arrays, ["lang", "term", "source", "n", "docs"])
+            rows = pa.table([column(0), terms, column(1), pa.array(n), pa.array(held)], ["lang", "term", "source", "n", "docs"])
+            order = pc.sort_indices(rows, [("lang", "ascending"), ("term", "ascending")])
+            return rows.take(order).combine_chunks().to_batches(max_chunksize=max(1, len(order)))[0] if len(order) else pa.RecordBatch.from_pylist([], rows.schema)
 
         for batch in batches:
             for lang, source, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 seen: set[bytes] = set()
-                own, all_ = counts[lang, source], holds[lang]
-                size -= len(own) + len(all_)
+                own = counts[lang, source]
+                size -= len(own)
                 for words in words_of(text):
                     own.update(words)
                     seen.update(words)
-                all_.update(seen)
-                size += len(own) + len(all_)
+                holds[lang, source].update(seen)
+                size += len(own)
                 if size > BLOCK:
                     yield run()
                     size = 0
@@ -110,7 +111,7 @@ def frequencies(runs: DataFrame) -> DataFrame:
             rows = pa.Table.from_batches([*([last] if last is not None else []), batch]).combine_chunks()
             if not rows.num_rows:
                 continue
-            keys = [rows[c].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy() for c in ("lang", "term", "source")]
+            keys = [rows[c].combine_chunks().dictionary_encode().indices.to_numpy() for c in ("lang", "term", "source")]
             change = np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)]
             begins = np.flatnonzero(change)
             found = rows.select(["lang", "term", "source"]).take(pa.array(begins))
@@ -190,8 +191,9 @@ def audit(df: DataFrame, lang_col: str = "lang", source_col: str = "source", tex
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     docs = df.select(empty(lang_col).alias("lang"), empty(source_col).alias("source"), empty(text_col).alias("text"))
     found = stage(frequencies(postings(docs)), "divergence-frequencies")
-    kept = found.where(F.col("source").isNull() & (F.col("docs") >= min_documents)).select("lang", "term")
-    counts = stage(found.where(F.col("source").isNotNull()).join(kept, ["lang", "term"], "left_semi").select("lang", "term", "source", "n"), "divergence-counts")
+    kept = found.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_documents)
+    kept = stage(kept.select("lang", "term"), "divergence-terms")
+    counts = stage(found.join(kept, ["lang", "term"], "left_semi").select("lang", "term", "source", "n"), "divergence-counts")
 
     # one row per group, those without kept terms too: as many rows as the table has groups
     vocabulary = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
