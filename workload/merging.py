@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codegauge import storage
-from codegauge.operators import incremental, metrics, positions, sampling, sketches
+from codegauge.operators import dispatch, incremental, metrics, positions, sampling, sketches
 from workload.evaluation import METRICS, _rounded
 from workload.outcomes import _executions
 from workload.preparation import ORACLES as PREPARATION_ORACLES
@@ -78,7 +78,26 @@ def positional_zip(spark, sf_dir):
     return positions.positional_zip(generations, runs, ["sample_id"], [F.col("exec_id").desc()])
 
 
-QUERIES = {f.__name__: f for f in (sample_one_pass, sample_batches, telemetry_merged, metrics_incremental, positional_zip)}
+SLOTS = 24
+
+
+def balanced_dispatch(spark, sf_dir):
+    """Executions dealt by the mean cost of their prompt's earlier half to slots of equal load.
+
+    The bound is 4/3 of the larger of the mean load and the greatest cost, and a cost step.
+    """
+    runs = view(spark, sf_dir, "fx_executions").select("exec_id", "prompt_id", "duration_sec")
+    later = dispatch.predicted_cost(runs.where("exec_id % 2 = 1").drop("duration_sec"), runs.where("exec_id % 2 = 0"), ["prompt_id"])
+    dealt = dispatch.dispatch(later, "predicted_sec", ["exec_id"], SLOTS)
+    loads = dealt.groupBy("slot").agg(F.sum("predicted_sec").alias("load"), F.max("predicted_sec").alias("most"), F.count(F.lit(1)).alias("n"))
+    least = F.greatest(F.sum("load") / SLOTS, F.max("most"))  # no dealing has a smaller greatest load
+    return loads.agg(
+        F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_slots"), F.round(F.sum("load"), 6).alias("seconds"),
+        (F.max("load") <= least * (4 / 3 * (1 + dispatch.STEP))).alias("within_bound"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (sample_one_pass, sample_batches, telemetry_merged, metrics_incremental, positional_zip, balanced_dispatch)}
 
 ORACLES = {
     "sample_one_pass": PREPARATION_ORACLES["sample_seeded"],
@@ -107,4 +126,11 @@ ORACLES = {
         b AS (SELECT exec_id, exit_code, row_number() OVER (ORDER BY exec_id DESC) - 1 AS position FROM fx_executions WHERE exit_code <> 124)
         SELECT position, sample_id, token_count, exec_id, exit_code FROM a JOIN b USING (position)""",
     ),
+    "balanced_dispatch": with_views(
+        ["fx_executions"],
+        f"""+ means AS (SELECT prompt_id, avg(duration_sec) AS mean FROM fx_executions WHERE exec_id % 2 = 0 GROUP BY prompt_id),
+        overall AS (SELECT avg(duration_sec) AS mean FROM fx_executions WHERE exec_id % 2 = 0)
+        SELECT count(*) AS n_rows, {SLOTS} AS n_slots, round(sum(coalesce(m.mean, o.mean)), 6) AS seconds, true AS within_bound
+        FROM fx_executions e LEFT JOIN means m USING (prompt_id), overall o WHERE exec_id % 2 = 1""",
+    ),
 }
