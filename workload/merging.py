@@ -66,7 +66,7 @@ def metrics_incremental(spark, sf_dir):
     results.withColumn("batch", number).repartition(1, "batch").sortWithinPartitions("batch").write.partitionBy("batch").parquet(folder)
     # files in the order of their batches
     for k in range(3):
-        incremental.update_metrics(spark.read.schema(results.schema).parquet(f"{folder}/batch={k}"), home, k)
+        incremental.update_metrics(spark.read.schema(results.schema).parquet(f"{folder}/batch={k}"), home, k, buckets=16)
     after = [incremental.stored_metrics(spark, home, k).withColumn("batch", F.lit(k)) for k in range(3)]
     return _rounded(reduce(DataFrame.unionByName, after), "avg_sandbox_execution_time")
 
