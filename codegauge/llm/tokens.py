@@ -109,6 +109,8 @@ class ChunkEncoder:
     belongs to the word after it) or ``"dropped"`` (nothing spans white space).
     """
 
+    most = MAX_PIECES
+
     def __init__(self, path: str, blanks: str):
         if blanks not in ("kept", "dropped"):
             raise ValueError(f"blanks: {blanks!r}")
@@ -197,7 +199,7 @@ class ChunkEncoder:
     def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         bounds, plain, data = cut(data, offsets, self.kept, self.special)
         codes, pieces, first = distinct(bounds, data)
-        if len(self.place) + len(pieces) > MAX_PIECES:
+        if len(self.place) + len(pieces) > self.most:
             self._forget()
         fresh = [k for k, p in enumerate(pieces) if p not in self.place]
         if fresh:

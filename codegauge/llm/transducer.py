@@ -45,7 +45,7 @@ from codegauge.storage import stage
 LEXICON_WORDS = 1 << 16
 MIN_COUNT = 4
 #: Words counted by a task before it passes its counts on.
-COUNTED = 300_000
+COUNTED = 120_000
 
 
 def byte_letters() -> list[str]:
@@ -352,6 +352,8 @@ def build_lexicon(df: DataFrame, vocabulary: str, text_col: str = "text", most:
 class WordEncoder(ChunkEncoder):
     """Ids of whole texts: lexicon first, exact merging for plain pieces it has not."""
 
+    most = 150_000  # learning is cheap here, memory is not
+
     def __init__(self, library: ChunkEncoder, arrays: dict[str, np.ndarray], pairs: PairTable):
         self.tokenizer, self.kept, self.special, self.line_feed = library.tokenizer, True, library.special, library.line_feed
         self.arrays, self.pairs = arrays, pairs
