@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codegauge.llm import chat, conversation_repair, divergence, fingerprints, langid, licenses, packing, quality, secrets, simhash, suffix_dedup, token_files, transducer
+from codegauge.session import SETTINGS
 from codegauge.storage import new_path
 
 
@@ -95,6 +96,8 @@ def op8_token_id_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
+    # few whole texts at once in a worker
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", SETTINGS["spark.sql.execution.arrow.maxRecordsPerBatch"])
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     ids = docs.select("doc_id", transducer.encode(F.col("text"), transducer.build_lexicon(docs, vocabulary)).alias("ids"))
