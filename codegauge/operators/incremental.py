@@ -79,7 +79,8 @@ def update_metrics(
     rows = results.where(answered()).select(*RESULT_KEY, *_USED, order_by, tie_breaker)
     bucket = F.pmod(F.xxhash64(*RESULT_KEY), F.lit(buckets)).cast("int")
     home = f"{state.folder}/batch={batch}"
-    latest_per_task(rows, order_by, tie_breaker).withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{home}/new")
+    # rebalanced: a large bucket is written by several tasks, each of which sorts its part alone
+    latest_per_task(rows, order_by, tie_breaker).withColumn("bucket", bucket).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{home}/new")
     touched = [p.rsplit("bucket=", 1)[1] for p in list_paths(spark, f"{home}/new/bucket=*")]
     if not touched:
         state.commit(batch, tables)
@@ -95,7 +96,7 @@ def update_metrics(
     taken = F.col("__old").isNull() | (F.col("__new").isNotNull() & newer)
     both = both.withColumn("__taken", taken)
     kept = both.select(*[F.when(F.col("__taken"), F.col(c)).otherwise(F.col(f"__old_{c}")).alias(c) for c in rows.columns])
-    kept.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{home}/tasks")
+    kept.withColumn("bucket", bucket).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{home}/tasks")
 
     came = both.where("__taken")
     left = came.where("__old").select(*[F.col(f"__old_{c}").alias(c) for c in rows.columns])

@@ -187,6 +187,26 @@ def test_a_batch_that_stopped_half_way_is_taken_again(spark, tmp_path):
     assert ordered(incremental.stored_metrics(spark, home)) == ordered(metrics.dataset_metrics(first.union(second), dedupe="latest"))
 
 
+def test_a_large_bucket_has_several_writers(spark, tmp_path):
+    rows = spark.range(4000).select(
+        F.lit("m").alias("model_id"), F.lit("d").alias("dataset_name"), F.col("id").cast("string").alias("task_id"), F.lit(1).alias("token_count"),
+        *[F.lit(True).alias(c) for c in ("passed", "correct_format", "extraction_success")], F.rand(1).alias("sandbox_execution_time"),
+        F.timestamp_seconds("id").alias("result_ts"), F.col("id").alias("result_id"),
+    ).repartition(8)
+    names = ["spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize"]
+    before = [spark.conf.get(n) for n in names]
+    for n in names:
+        spark.conf.set(n, "8k")
+    try:
+        incremental.update_metrics(rows, str(tmp_path), 0, buckets=1)
+    finally:
+        for n, value in zip(names, before):
+            spark.conf.set(n, value)
+    assert spark.read.parquet(str(tmp_path / "batch=0" / "tasks")).count() == 4000
+    for kind in ("new", "tasks"):
+        assert len(list(tmp_path.glob(f"batch=0/{kind}/bucket=0/*.parquet"))) > 1, kind
+
+
 def test_metrics_of_a_stream(spark, tmp_path):
     folder, home, state = (str(tmp_path / n) for n in ("in", "state", "checkpoint"))
     both = [results(spark, k, 60, 1000 * k) for k in range(2)]
