@@ -9,7 +9,7 @@ from codegauge import storage
 PARTS = 3
 
 
-@pytest.mark.parametrize("name,batches", [("stream_resume_state", 4), ("metrics_incremental", 3)])
+@pytest.mark.parametrize("name,batches", [("stream_resume_state", 4), ("metrics_incremental", 3), ("sample_batches", 3)])
 def test_a_batch_has_a_file_per_reading_task(spark, tmp_path, monkeypatch, name, batches):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     events.repartition(PARTS).write.parquet(str(tmp_path / "events.parquet"))
