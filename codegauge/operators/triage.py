@@ -31,6 +31,8 @@ _ARROW_TYPE = pa.struct([
     ("parse_ok", pa.bool_()),
     ("nodes", pa.list_(pa.struct([("kind", pa.string()), ("modules", pa.list_(pa.string()))]))),
 ])
+#: Bytes of scripts a Python worker takes at once (or one script), whatever the session says.
+BATCH_BYTES = 1 << 20
 _KINDS = {ast.ClassDef: "Class", ast.Match: "Match", ast.Delete: "Delete"}
 
 
@@ -62,7 +64,7 @@ def describe_script(code: str | None) -> dict | None:
 
 @F.arrow_udf(ANALYSIS)
 def analyse_code(code: pa.Array) -> pa.Array:
-    return pa.array([describe_script(c) for c in code.to_pylist()], _ARROW_TYPE)
+    return pa.array([describe_script(c.as_py()) for c in code], _ARROW_TYPE)
 
 
 def has_long_line(code: Column, limit: int = V.FAST_ENGINE_MAX_LINE) -> Column:
@@ -92,6 +94,7 @@ def triage(df: DataFrame, code_column: str, allowed: list[str] | None = None) ->
     reason``.  A script that does not parse counts as compatible, so the fast
     engine reports the error.  The reason is that of the first offending node.
     """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     supported = F.lit(sorted(allowed or V.FAST_ENGINE_MODULES))
     analysis = F.col("__analysis")
     offender = F.col("__offender")

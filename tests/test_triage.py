@@ -48,6 +48,20 @@ def test_features(triaged):
     assert flags["x = 1\ndel x"] == (False, False, True)
 
 
+def test_a_worker_takes_few_bytes_at_once(spark, monkeypatch):
+    @F.arrow_udf(T.ANALYSIS)
+    def size_of_batch(code):
+        import pyarrow as pa
+
+        found = {"parse_ok": True, "nodes": [{"kind": "import", "modules": [str(code.nbytes)]}]}
+        return pa.array([found] * len(code))
+
+    monkeypatch.setattr(T, "analyse_code", size_of_batch)
+    df = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("x"), 5000).alias("code"))
+    sizes = [int(r.modules[0]) for r in T.triage(df, "code").collect()]
+    assert len(sizes) == 2000 and max(sizes) < 1.1 * (1 << 20)
+
+
 def test_other_allowed_modules(spark):
     df = spark.createDataFrame([("import numpy",)], "code string")
     assert T.triage(df, "code", allowed=["numpy"]).first().is_compatible
