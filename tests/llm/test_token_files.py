@@ -1,6 +1,7 @@
 """ORC token files against the tokenizers library."""
 
 import glob
+import random
 import zlib
 
 import duckdb
@@ -60,3 +61,15 @@ def test_files_have_stripes_indexes_and_prune(spark, tmp_path):
     assert stored.where("id = 77").count() == 1 and stored.where("id = 5000").count() == 0
     plan = stored.where("id = 77").select("ids")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(id,77)" in plan
+
+
+def test_plain_pieces_skip_the_library_s_cutting(monkeypatch):
+    rng = random.Random(5)
+    words = ["été", "Übermaß", "x", "word", "123", "7", "!?", "...", "#a", "a1b2", "naïveté's", "÷", "²", "日本", "\u00a0", "e\u0301"]
+    texts = ["".join(rng.choice(["", " ", " ", " ", "  ", "\n", "\n\n", "\t"]) + rng.choice(words) for _ in range(40)) for _ in range(300)]
+    library, encoder = tokens.load(PATH), tokens.ChunkEncoder(PATH, "kept")
+    offsets, ids = encoder.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(encoder, "_library", None)  # from here on only the model is asked
+    text = "plain words, Überall 42 été ... a1 (done)"
+    assert encoder.encode([text])[1].tolist() == library.encode(text, add_special_tokens=False).ids
