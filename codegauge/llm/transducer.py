@@ -4,10 +4,9 @@ Texts are cut into the pieces of the tokenizer's pattern (``tokens.cut``).  The
 the corpus that follow a blank are counted; the most frequent ones, with the ids that exact
 merging gives them, are compiled into a minimal acyclic automaton: equal suffixes share
 states, and the outputs along a word's arcs add up to its row in the table of id lists.
-The file is sent to every executor (``SparkContext.addFile``) and memory-mapped there, so
-all workers of a machine share its pages.  Pieces that the automaton does not accept are
-merged pair by pair, lowest rank first, as the vocabulary's merge list says, many words
-side by side.  Only chunks between blanks that hold other characters than plain letters,
+Packed into one string of bytes it is broadcast.  Pieces that the automaton does not accept
+are merged pair by pair, lowest rank first, as the vocabulary's merge list says, many words
+side by side.  A task encodes and decodes in one Python worker (``transduce``).  Only chunks between blanks that hold other characters than plain letters,
 digits and marks, irregular white space or special tokens go to the tokenizers library.
 
 Defined results: a null text counts as empty and has no ids; null ids decode to null;
@@ -17,13 +16,9 @@ holds; an empty table gives an empty table (and an empty lexicon).
 
 from __future__ import annotations
 
-import atexit
 import json
 import os
 import re
-import shutil
-import tempfile
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark import SparkFiles
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -276,29 +271,36 @@ def compile_words(entries: dict[bytes, list[int]]) -> dict[str, np.ndarray]:
     }
 
 
-def save(arrays: dict[str, np.ndarray], path: str) -> None:
-    """One file: a JSON line that tells where each array lies, then the arrays."""
+def packed(arrays: dict[str, np.ndarray]) -> bytes:
+    """An automaton as bytes: a JSON line that tells where each array lies, then the arrays."""
     at, index = 0, {}
     for name, array in arrays.items():
         index[name] = [array.dtype.str, at, len(array)]
         at += -(-array.nbytes // 8) * 8
     head = json.dumps(index).encode()
     head += b" " * (-(len(head) + 9) % 8) + b"\n"
-    with open(path, "wb") as file:
-        file.write(len(head).to_bytes(8, "little") + head)
-        for array in arrays.values():
-            file.write(array.tobytes() + b"\0" * (-array.nbytes % 8))
+    return b"".join([len(head).to_bytes(8, "little"), head, *(array.tobytes() + b"\0" * (-array.nbytes % 8) for array in arrays.values())])
 
 
-def load(path: str) -> dict[str, np.ndarray]:
-    """The arrays of a saved automaton, mapped and not read."""
-    whole = np.memmap(path, np.uint8, "r")
+def unpacked(whole: np.ndarray) -> dict[str, np.ndarray]:
+    """The arrays of a packed automaton, as views of its bytes."""
     head = int(whole[:8].view("<i8")[0])
     index = json.loads(whole[8 : 8 + head].tobytes())
     base = 8 + head
     return {name: whole[base + at : base + at + np.dtype(kind).itemsize * n].view(kind) for name, (kind, at, n) in index.items()}
 
 
+def save(arrays: dict[str, np.ndarray], path: str) -> None:
+    """A packed automaton as a file."""
+    with open(path, "wb") as file:
+        file.write(packed(arrays))
+
+
+def load(path: str) -> dict[str, np.ndarray]:
+    """The arrays of a saved automaton, mapped and not read."""
+    return unpacked(np.memmap(path, np.uint8, "r"))
+
+
 def look_up(arrays: dict[str, np.ndarray], words: list[bytes]) -> np.ndarray:
     """Row of each word, -1 if it is not in the lexicon; all words walk the arcs together."""
     rows = np.full(len(words), -1, np.int64)
@@ -328,25 +330,20 @@ def look_up(arrays: dict[str, np.ndarray], words: list[bytes]) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Lexicon:
-    """A compiled lexicon on every executor, and the vocabulary it belongs to."""
+    """A compiled lexicon, broadcast, and the vocabulary it belongs to."""
 
     vocabulary: str
-    file_name: str
+    data: Broadcast
 
 
 def build_lexicon(df: DataFrame, vocabulary: str, text_col: str = "text", most: int = LEXICON_WORDS) -> Lexicon:
-    """Count, merge and compile the frequent words of ``df`` and send the file out."""
+    """Count, merge and compile the frequent words of ``df`` and broadcast them."""
     words = [b" " + w.encode() for w in frequent_words(df, text_col, most)]
     lengths, ids = PairTable(Merger(vocabulary)).merge(words)
     ends = np.cumsum(lengths)
     arrays = compile_words({w: ids[e - n : e].tolist() for w, n, e in zip(words, lengths, ends)})
-    name = f"lexicon-{uuid.uuid4().hex}.bin"
-    # Spark's file server hands the file to the executors as long as the driver lives
-    folder = tempfile.mkdtemp(prefix="codegauge-")
-    atexit.register(shutil.rmtree, folder, True)
-    save(arrays, os.path.join(folder, name))
-    df.sparkSession.sparkContext.addFile(os.path.join(folder, name))
-    return Lexicon(vocabulary, name)
+    # some MB at most, whatever the corpus holds
+    return Lexicon(vocabulary, df.sparkSession.sparkContext.broadcast(packed(arrays)))
 
 
 class WordEncoder(ChunkEncoder):
@@ -374,22 +371,6 @@ class WordEncoder(ChunkEncoder):
         return tuple(np.concatenate(part) for part in zip(*found))
 
 
-def encode(text: Column, lexicon: Lexicon) -> Column:
-    """array<int> of ids of a text column."""
-
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = WordEncoder(worker_encoder(lexicon.vocabulary, "kept"), load(SparkFiles.get(lexicon.file_name)), PairTable(Merger(lexicon.vocabulary)))
-        for batch in batches:
-            parts = []
-            for first in range(0, max(1, len(batch)), ROWS):
-                offsets, flat = encoder.encode(batch.slice(first, ROWS))
-                parts.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32())))
-            yield pa.concat_arrays(parts)
-
-    return ids(text)
-
-
 class TokenBytes:
     """The bytes of every token, in one array."""
 
@@ -418,12 +399,68 @@ class TokenBytes:
         return pc.if_else(ids.is_valid(), texts, pa.scalar(None, pa.string()))
 
 
+def worker_tables(vocabulary: str) -> tuple[PairTable, TokenBytes]:
+    """Merges and token bytes of a vocabulary, read once in a Python worker's life
+    (kept where ``tokens.worker_encoder`` keeps its encoder)."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_transducer_tables", {})
+    if vocabulary not in kept:
+        kept.clear()  # one vocabulary at a time
+        merger = Merger(vocabulary)
+        kept[vocabulary] = PairTable(merger), TokenBytes(merger)
+    return kept[vocabulary]
+
+
+def word_encoder(lexicon: Lexicon) -> WordEncoder:
+    """A task's encoder."""
+    arrays = unpacked(np.frombuffer(lexicon.data.value, np.uint8))
+    return WordEncoder(worker_encoder(lexicon.vocabulary, "kept"), arrays, worker_tables(lexicon.vocabulary)[0])
+
+
+def id_lists(encoder: WordEncoder, texts: pa.Array) -> pa.ListArray:
+    offsets, flat = encoder.encode(texts)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+
+
+def transduce(df: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, decoded) of every row: the ids of its text, and the text these ids stand for.
+
+    Both in one Python worker a task; ``encode`` and ``decode`` in one select are two workers,
+    the second fed by the first.
+    """
+    id_type = df.select(id_col).schema[0].dataType.simpleString()
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, tokens = word_encoder(lexicon), worker_tables(lexicon.vocabulary)[1]
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(first, ROWS)
+                ids = id_lists(encoder, batch.column(1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), ids, tokens.text(ids)], ["id", "ids", "decoded"])
+
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(both, f"id {id_type}, ids array<int>, decoded string")
+
+
+def encode(text: Column, lexicon: Lexicon) -> Column:
+    """array<int> of ids of a text column."""
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = word_encoder(lexicon)
+        for batch in batches:
+            yield pa.concat_arrays([id_lists(encoder, batch.slice(first, ROWS)) for first in range(0, max(1, len(batch)), ROWS)])
+
+    return ids(text)
+
+
 def decode(ids: Column, vocabulary: str) -> Column:
     """Text of an array<int> column: the tokens' bytes, joined and read as UTF-8."""
 
     @F.arrow_udf(T.StringType())
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokens = TokenBytes(Merger(vocabulary))
+        tokens = worker_tables(vocabulary)[1]
         for batch in batches:
             parts = [batch.slice(first, ROWS) for first in range(0, max(1, len(batch)), ROWS)]
             yield pa.concat_arrays([tokens.text(part) for part in parts])

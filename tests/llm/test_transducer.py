@@ -77,3 +77,21 @@ def test_counts_and_decoding(spark, merger):
     rows = spark.createDataFrame([(1, [50256, 64]), (2, None), (3, []), (4, [merger.base[0xFF]])], "k int, ids array<int>")
     got = {r.k: r.t for r in rows.select("k", transducer.decode(F.col("ids"), PATH).alias("t")).collect()}
     assert got == {1: "<|endoftext|>a", 2: None, 3: "", 4: "�"}
+
+
+def test_one_worker_a_task_and_no_sent_files(spark, tmp_path):
+    """One Python step reads the table, and the lexicon does not come through the file server."""
+    files = spark.sparkContext.listFiles
+    rows = queries.QUERIES["op3_bpe_transducer"](spark, save(documents(spark, ODD), tmp_path))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") + plan.count("ArrowEvalPython") == 1
+    assert spark.sparkContext.listFiles == files
+
+
+def test_one_step_is_encoding_and_decoding(spark):
+    df = documents(spark, [*ODD, *["a b a b b", "unseenword a"] * 600])
+    lexicon = transducer.build_lexicon(df, PATH)
+    ids = df.select("doc_id", transducer.encode(F.col("text"), lexicon).alias("ids"))
+    want = {tuple(r) for r in ids.select("doc_id", F.col("ids").cast("string"), transducer.decode(F.col("ids"), PATH)).collect()}
+    found = transducer.transduce(df, lexicon).select("id", F.col("ids").cast("string"), "decoded").collect()
+    assert len(found) == df.count() and {tuple(r) for r in found} == want
